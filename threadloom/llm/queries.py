@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import curve_pack, decontaminate, exact_dedup, orc_tokens, secret_scan
+from threadloom.llm import ctw_score, curve_pack, decontaminate, exact_dedup, orc_tokens, quality_pu, secret_scan
 from threadloom.llm.common import load
 from threadloom.llm.tokens import default_vocabulary
 
@@ -31,6 +31,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_score.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
