@@ -26,59 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, materialise, parts_for
+from threadloom.llm.hashing import word_keys
 
 DEPTH = 4
 CHUNK_ROWS = 4096
 SHARD_GRAMS = 400_000
 END = 255
 GRAM, WORD = 0, 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """Powers 0 .. n-1 modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 #: The end token's key; words have mixed, practically never zero, hashes.
 END_WORD = np.uint64(0)
 
 
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all words, in order, and the number of words of each text."""
-    flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    blank = _BLANK[flat]
-    edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
-    terms = _VALUE[flat]
-    terms *= _power(_BASE, len(flat))
-    terms[blank] = 0
-    sums = np.add.reduceat(terms, starts) * _power(_INVERSE, len(flat))[starts]
-    return _mix(sums + (stops - starts).astype(np.uint64)), counts
-
-
 def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys (DEPTH context bytes, then the byte) of every byte and end of the texts, and how many each text has."""
     pad = bytes(DEPTH)
