@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import ctw_score, curve_pack, decontaminate, exact_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan
+from threadloom.llm import ctw_score, curve_pack, decontaminate, exact_dedup, line_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan
 from threadloom.llm.common import load
 from threadloom.llm.tokens import default_vocabulary
 
@@ -47,6 +47,10 @@ def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.report(load(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
