@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, materialise, parts_for
-from threadloom.llm.hashing import word_keys
+from threadloom.llm.hashing import distinct, word_keys
 
 DEPTH = 4
 CHUNK_ROWS = 4096
@@ -52,6 +52,12 @@ def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], counts
 
 
+def _by_parts(keys_of, texts: list[bytes], each: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """``keys_of`` a few texts at a time: its scratch arrays then stay in cache."""
+    found = [keys_of(texts[lo : lo + each]) for lo in range(0, len(texts), each)]
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+
+
 def in_training(doc_ids: list) -> np.ndarray:
     import zlib
 
@@ -60,11 +66,13 @@ def in_training(doc_ids: list) -> np.ndarray:
 
 def _tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and how often each occurs in training."""
-    order_train = np.sort(keys[trained])
-    every = np.unique(keys[~trained])
-    own, n = np.unique(order_train, return_counts=True)
-    extra = every[~np.isin(every, own, assume_unique=True)]
-    return np.r_[own, extra], np.r_[n, np.zeros(len(extra), dtype=n.dtype)]
+    train = np.sort(keys[trained])
+    head = np.flatnonzero(np.r_[True, train[1:] != train[:-1]]) if len(train) else np.zeros(0, np.int64)
+    own, n = train[head], np.diff(np.r_[head, len(train)])
+    every = distinct(keys[~trained])
+    if len(own):
+        every = every[own[np.minimum(np.searchsorted(own, every), len(own) - 1)] != every]
+    return np.r_[own, every], np.r_[n, np.zeros(len(every), dtype=n.dtype)]
 
 
 def _lower(table: pa.Table) -> list[bytes]:
@@ -75,7 +83,8 @@ def count_chunk(table: pa.Table) -> pa.Table:
     texts, train = _lower(table), in_training(table["doc_id"].to_pylist())
     chunk = table["chunk"][0].as_py()
     out = []
-    for kind, (keys, counts) in ((GRAM, gram_keys(texts)), (WORD, word_keys(texts))):
+    for kind, keys_of in ((GRAM, gram_keys), (WORD, word_keys)):
+        keys, counts = _by_parts(keys_of, texts)
         if kind == WORD:
             keys, train_of = np.r_[keys, np.full(len(texts), END_WORD)], np.r_[np.repeat(train, counts), train]
         else:
@@ -210,9 +219,9 @@ def score_chunk(docs: pa.Table, values: pa.Table, tokens: int, distinct: int) ->
         at = np.r_[0, np.cumsum(counts)]
         return total[at[1:]] - total[at[:-1]]
 
-    grams, sizes = gram_keys(texts)
+    grams, sizes = _by_parts(gram_keys, texts)
     score = np.add.reduceat(found(GRAM, grams), np.r_[0, np.cumsum(sizes)[:-1]])
-    words, n_words = word_keys(texts)
+    words, n_words = _by_parts(word_keys, texts)
     c = found(WORD, words)
     end = float(found(WORD, np.array([END_WORD]))[0])
     floor = tokens + distinct + 1

@@ -8,8 +8,6 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SEQUENCE_BASE = 0xD6E8FEB86659FD93
 SEQUENCE_INVERSE = pow(SEQUENCE_BASE, -1, 1 << 64)
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -21,6 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_VALUE[[9, 10, 11, 12, 13, 32]] = 0
 
 
 def power(base: int, n: int) -> np.ndarray:
@@ -33,21 +32,43 @@ def power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all words, in order, and the number of words of each text."""
-    flat = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    blank = BLANK[flat]
-    edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort beats ``np.unique`` on 64-bit keys."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _word_starts(texts: list[bytes], joint: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with a blank between, where words start and where they stop."""
+    flat = np.frombuffer(joint + joint.join(texts) + joint, dtype=np.uint8)
+    blank = (flat - np.uint8(9)) < 5
+    blank |= flat == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    return flat, edge[::2], edge[1::2]
+
+
+def _keys(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
+        return np.zeros(0, dtype=np.uint64)
     terms = _VALUE[flat]
     terms *= power(BASE, len(flat))
-    terms[blank] = 0
     sums = np.add.reduceat(terms, starts) * power(INVERSE, len(flat))[starts]
-    return mix(sums + (stops - starts).astype(np.uint64)), counts
+    return mix(sums + (stops - starts).astype(np.uint64))
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words, in order, and the number of words of each text."""
+    flat, starts, stops = _word_starts(texts, b" ")
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+    return _keys(flat, starts, stops), counts
+
+
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words, and the line each lies in, counted on through the texts."""
+    flat, starts, stops = _word_starts(texts, b"\n")
+    breaks = np.flatnonzero(flat == 10)
+    return _keys(flat, starts, stops), np.searchsorted(breaks, starts) - 1
 
 
 def sequence_keys(words: np.ndarray, width: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, materialise, parts_for
-from threadloom.llm.hashing import BASE, mix, word_keys
+from threadloom.llm.hashing import BASE, distinct, line_words, mix
 
 THRESHOLD = 0.8
 #: log2 of the rarity table's size; 8 MB on the driver and in each worker, whatever the corpus.
@@ -48,27 +48,23 @@ class Lines:
     """The non-blank lines of some texts as sorted sets: word keys of a line lie together, ordered from rare to common if ``rarity`` is given."""
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
-        pieces = [t.split(b"\n") for t in texts]
-        self.count = np.array([len(p) for p in pieces], dtype=np.int64)
-        keys, words = word_keys([line for p in pieces for line in p])
+        count = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+        keys, line = line_words(texts)
         self.all_keys = keys
-        full = np.flatnonzero(words)
-        text = np.repeat(np.arange(len(texts)), self.count)[full]
-        number = full - (np.cumsum(self.count) - self.count)[text]
-        line = np.repeat(np.arange(len(full), dtype=np.uint64), words[full])
-        token = keys >> np.uint64(64 - _TOKEN_BITS)
-        rank = np.zeros(len(keys), dtype=np.uint64) if rarity is None else rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64)
-        if len(full) >= 1 << 16:
+        first = np.cumsum(count) - count
+        rank = np.uint64(0) if rarity is None else rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
+        if count.sum() >= 1 << 16:
             raise ValueError("too many lines at once")
-        packed = (line << np.uint64(48)) | (rank << np.uint64(_TOKEN_BITS)) | token
-        packed = np.unique(packed)
+        packed = distinct((line.astype(np.uint64) << np.uint64(48)) | rank | (keys >> np.uint64(64 - _TOKEN_BITS)))
         line = (packed >> np.uint64(48)).astype(np.int64)
         self.token = packed & _TOKEN_MASK
         self.start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-        self.size = np.diff(np.r_[self.start, len(line)])
-        self.text, self.number = text, number
+        self.size = np.diff(np.r_[self.start, len(packed)])
+        line = line[self.start]
+        self.text = np.searchsorted(first, line, side="right") - 1
+        self.number = line - first[self.text]
         spread = mix(self.token + np.uint64(BASE))
-        total = np.add.reduceat(spread, self.start) if len(line) else np.zeros(0, np.uint64)
+        total = np.add.reduceat(spread, self.start) if len(packed) else np.zeros(0, np.uint64)
         self.node = mix(total + self.size.astype(np.uint64)).view(np.int64)
         self.spread = spread
 
@@ -133,11 +129,12 @@ def _blocks(bucket: np.ndarray, node: np.ndarray, hot: dict[int, int]) -> tuple[
     return row, np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other), mine * 2 + (mine == other)
 
 
-PREFIX = "meet long, token long, own int, node long, size int, place int, bits long, doc long, line int"
+#: ``own`` tells the blocks of a hot bucket's rows apart; its lowest bit says that a block meets itself.
+PREFIX = "meet long, node long, bits long, doc long, line int, size int, place int, own int"
 
 
-def prefix_rows(texts: DataFrame, rarity, hot: dict[int, int]) -> DataFrame:
-    """A row for each prefix word of each distinct line of a batch, with what the filters need."""
+def prefix_rows(texts: DataFrame, rarity, hot: dict[int, int], only=None) -> DataFrame:
+    """A row for each prefix word of each distinct line of a batch, with what the filters need; ``only`` is a bitmap of meetings wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +156,10 @@ def prefix_rows(texts: DataFrame, rarity, hot: dict[int, int]) -> DataFrame:
                 row, pair, own = _blocks((token & np.uint64(0xFFFF)).astype(np.int64), node, hot)
                 at, place, token = at[row], place[row], token[row]
                 meet = mix(token * np.uint64(3) + pair.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-                columns = [meet, token.view(np.int64), own.astype(np.int32), node[row], size[at].astype(np.int32), place.astype(np.int32), bits[at].view(np.int64), doc[pick][at], lines.number[pick][at].astype(np.int32)]
+                if only is not None:
+                    ok = _in_bitmap(meet, only.value)
+                    meet, row, at, place, own = meet[ok], row[ok], at[ok], place[ok], own[ok]
+                columns = [meet, node[row], bits[at].view(np.int64), doc[pick][at], *(x.astype(np.int32) for x in (lines.number[pick][at], size[at], place, own))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PREFIX.split(", ")])
 
     return texts.mapInArrow(emit, PREFIX)
@@ -175,12 +175,12 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
     if not parts:
         return
     table = pa.concat_tables(parts)
-    meet, token, own, node, size, place, bits, doc, line = (np.asarray(table[x.split()[0]]) for x in PREFIX.split(", "))
-    columns = (meet, token, own, node, size, place, bits, doc, line)
+    columns = [np.asarray(table[x.split()[0]]) for x in PREFIX.split(", ")]
+    meet, node, _, doc, line = columns[:5]
     order = np.lexsort((line, doc, node, meet))
     order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0)]]  # a line's earliest row stands for it
     order = order[np.lexsort((node[order], line[order], doc[order], meet[order]))]
-    meet, token, own, node, size, place, bits, doc, line = (x[order] for x in columns)
+    meet, node, bits, doc, line, size, place, own = (x[order] for x in columns)
     bits = bits.view(np.uint64)
     head = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
     group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(meet)]))
@@ -189,7 +189,7 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
     if only is not None:
         active = active[_in_bitmap(node[active], only)]
     made = np.zeros(len(meet), dtype=np.int64)
-    later, earlier, more = [], [], []
+    later, earlier, more, where = [], [], [], []
     step = 0
     while len(active):
         x = head[group[active]] + step
@@ -197,20 +197,24 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
         need = np.ceil((size[active] + size[x]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
         left = 1 + np.minimum(size[active] - place[active], size[x] - place[x]) - 1
         ok = (small >= THRESHOLD * large - 1e-9) & (left >= need) & (_popcount(bits[active] ^ bits[x]) <= size[active] + size[x] - 2 * need)
-        ok &= (node[active] != node[x]) & (token[active] == token[x]) & ((own[active] != own[x]) | (own[active] & 1 == 1))
+        ok &= (node[active] != node[x]) & ((own[active] != own[x]) | (own[active] & 1 == 1))
         ok &= (doc[x] < doc[active]) | ((doc[x] == doc[active]) & (line[x] < line[active]))
         hit, with_x = active[ok], x[ok]
         over = made[hit] >= limit
         later.append(node[hit])
         earlier.append(node[with_x])
         more.append(over)
+        where.append(meet[hit])
         made[hit] += 1
         step += 1
         active = active[(index[active] > step) & (made[active] <= limit)]
-    later, earlier, more = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
-    pair = np.lexsort((~more, earlier, later))
-    once = pair[np.r_[True, (np.diff(later[pair]) != 0) | (np.diff(earlier[pair]) != 0)]] if len(pair) else pair
-    yield pa.RecordBatch.from_arrays([pa.array(later[once]), pa.array(earlier[once]), pa.array(more[once])], names=["later", "earlier", "more"])
+    if not later:
+        return
+    later, earlier, more, where = np.concatenate(later), np.concatenate(earlier), np.concatenate(more), np.concatenate(where)
+    pair = np.lexsort((earlier, later))
+    fresh = np.r_[True, (np.diff(later[pair]) != 0) | (np.diff(earlier[pair]) != 0)] if len(pair) else np.zeros(0, bool)
+    once = pair[fresh | more[pair]]
+    yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (later, earlier, more, where)], names=["later", "earlier", "more", "meet"])
 
 
 def _in_bitmap(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -254,18 +258,33 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["later"], pa.array(good, pa.bool_())], names=["later", "good"])
 
 
+def prefix_histogram(texts: DataFrame, rarity) -> dict[int, int]:
+    """Prefix rows by the last 16 bits of their word: at most 65,536 numbers."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for _, lines in line_batches(batch, rarity.value):
+                width = np.where(lines.size > 3, lines.size - np.ceil(THRESHOLD * lines.size - 1e-9).astype(np.int64) + 1, 0)
+                at = np.repeat(lines.start - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                count += np.bincount((lines.token[at] & np.uint64(0xFFFF)).astype(np.int64), minlength=len(count))
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["bucket", "n"])
+
+    got = texts.mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(got["bucket"].to_pylist(), got["n"].to_pylist(), strict=True))
+
+
 def matched_nodes(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
     """``node`` of every distinct line of which a different, earlier line is similar."""
     spark = texts.sparkSession
     ranks = spark.sparkContext.broadcast(rarity)
-    plain = prefix_rows(texts, ranks, {})
-    spread = plain.groupBy(F.col("token").bitwiseAND(0xFFFF).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 65,536 rows
-    counts = dict(zip(spread["bucket"].to_pylist(), spread["n"].to_pylist(), strict=True))
+    counts = prefix_histogram(texts, ranks)
     total = sum(counts.values())
     hot = {b: -(-n // TASK_ROWS) for b, n in counts.items() if n > max(TASK_ROWS, total / HOT)}
     tasks = parts_for(total, TASK_ROWS)
     rows = prefix_rows(texts, ranks, hot).repartition(tasks, "meet")
-    pairs_schema = "later long, earlier long, more boolean"
+    pairs_schema = "later long, earlier long, more boolean, meet long"
 
     def settle(pairs: DataFrame) -> DataFrame:
         sets = materialise(line_sets(texts, spark.sparkContext.broadcast(_bitmap(pairs.select("later").unionByName(pairs.select(F.col("earlier").alias("later"))), "later"))), "line-sets")
@@ -274,11 +293,12 @@ def matched_nodes(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
 
     pairs = materialise(rows.mapInArrow(lambda it: propose(it, FIRST, None), pairs_schema), "line-pairs")
     good = materialise(settle(pairs), "line-matches")
-    open_lines = materialise(pairs.where("more").select(F.col("later").alias("node")).distinct().join(good, "node", "left_anti"), "open-lines")
+    open_lines = materialise(pairs.where("more").select(F.col("later").alias("node"), "meet").distinct().join(good, "node", "left_anti"), "open-lines")
     if open_lines.isEmpty():
         return good
-    chosen = spark.sparkContext.broadcast(_bitmap(open_lines, "node"))
-    second = materialise(rows.mapInArrow(lambda it: propose(it, LAST, chosen.value), pairs_schema), "line-pairs")
+    chosen, meets = (spark.sparkContext.broadcast(_bitmap(open_lines, c)) for c in ("node", "meet"))
+    again = prefix_rows(texts, ranks, hot, meets).repartition(tasks, "meet")
+    second = materialise(again.mapInArrow(lambda it: propose(it, LAST, chosen.value), pairs_schema), "line-pairs")
     return good.unionByName(settle(second)).distinct()
 
 

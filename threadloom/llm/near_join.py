@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, materialise, parts_for
-from threadloom.llm.hashing import BASE, inside, mix, sequence_keys, word_keys
+from threadloom.llm.hashing import BASE, distinct, inside, mix, sequence_keys, word_keys
 from threadloom.plans.fixpoint import connected_components
 
 WORDS = 5
@@ -76,10 +76,12 @@ def minhashes(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each text's sorted distinct shingles, all keys, and sizes with repeats."""
+    """Each text's sorted distinct shingles (of 48 bits, in texts of at most 2**16 a call), all keys, and sizes with repeats."""
     keys, sizes = shingles(texts)
-    at = np.r_[0, np.cumsum(sizes)]
-    return [np.unique(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], keys, sizes
+    packed = distinct((np.repeat(np.arange(len(texts), dtype=np.uint64), sizes) << np.uint64(48)) | (keys >> np.uint64(16)))
+    at = np.searchsorted(packed, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(48))
+    own = packed & np.uint64((1 << 48) - 1)
+    return [own[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], keys, sizes
 
 
 def _class_key(own: np.ndarray) -> int:
