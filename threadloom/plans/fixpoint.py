@@ -23,11 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's own switch to remove a query's shuffle files once the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+    """``df`` written once to the shared folder and read back; the shuffle files behind it go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
