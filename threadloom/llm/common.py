@@ -6,38 +6,24 @@ executor sees it, so a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.plans.fixpoint import saved, shared_folder
+
 #: Characters that separate words: space and the five ASCII control spaces.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only on a local master without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back: lineage is cut there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and return the table read back: lineage is cut there, and the shuffle files go."""
+    return saved(df, label)
 
 
 def documents(docs: DataFrame) -> DataFrame:

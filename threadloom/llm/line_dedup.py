@@ -311,7 +311,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = table.where("line >= 0")
     firsts = lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(matched, "node", "left").where("n > 1 or matched")
     gone = lines.join(firsts, "node").where(F.col("matched") | (place > F.col("first")))
-    return gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone"))
+    return materialise(gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone")), "gone-lines")
 
 
 def without_lines(docs: DataFrame) -> DataFrame:

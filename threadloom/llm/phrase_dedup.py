@@ -222,10 +222,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(recurring_bitmap(recurring))
     windows = candidate_windows(marked.select("doc_id", "text"), bitmap)
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.min("route").alias("route"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    confirmed = firsts.select("window", "first.doc", "first.start", "route")
+    confirmed = materialise(firsts.select("window", "first.doc", "first.start", "route"), "confirmed")
     stream = segments(marked, bitmap, hot, shards)
     located = stream.groupBy("shard").cogroup(confirmed_to_shards(confirmed, hot, shards).groupBy("shard")).applyInArrow(locate, "doc_id long, mark long, starts array<int>")
-    return located.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return materialise(located, "located").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
