@@ -7,8 +7,8 @@ equal windows have equal owners at equal offsets. Three passes over whole texts:
    can recur, and never stops one that does.
 2. Passed windows are counted by hash and the earliest (doc_id, start) is kept; a count of two confirms a recurring passage.
 3. Documents stream their passed segments to shards by owner phrase. A shard compiles an Aho-Corasick automaton over the word
-   sequences of its confirmed windows and locates every occurrence, so equality is settled on words; occurrences other than the
-   earliest go.
+   sequences of its distinct runs of confirmed windows and locates every occurrence, so equality is settled on words; of the windows
+   in an occurrence, those that aren't the earliest of their kind go.
 
 Owners that hold more than a ten-thousandth of all anchors (so fewer than ten thousand exist) are salted over several shards, and their
 confirmed windows are sent to each.
@@ -187,23 +187,48 @@ def locate(stream: pa.Table, confirmed: pa.Table) -> pa.Table:
     if not len(at):
         return FOUND.empty_table()
     first = np.r_[0, np.cumsum(counts)]
+    text = np.searchsorted(first, at, side="right") - 1
+    docs, marks, begins = stream["doc_id"].to_pylist(), stream["mark"].to_pylist(), np.asarray(stream["start"])
+    doc = np.array([LAST if d is None else d for d in docs], dtype=np.int64)[text]
+    doc0, start0 = np.asarray(confirmed["doc"]), np.asarray(confirmed["start"]).astype(np.int64)
+    later = (doc0[which] != doc) | (start0[which] != at - first[text] + begins[text])
+    head = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)])
+    tail = np.r_[head[1:], len(at)]
+    busy = np.add.reduceat(later, head) > 0  # runs of which every window is an earliest one lose nothing
     ids: dict[bytes, int] = {}
-    coded = [tuple([ids.setdefault(w, len(ids) + 1) for w in t.split()]) for t in texts]
+    coded: dict[int, tuple[int, ...]] = {}
+
+    def code(i: int) -> tuple[int, ...]:
+        if i not in coded:
+            coded[i] = tuple([ids.setdefault(w, len(ids) + 1) for w in texts[i].split()])
+        return coded[i]
+
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    _, once = np.unique(which, return_index=True)
-    home = np.searchsorted(first, at[once], side="right") - 1
-    for index, text, begin in zip(which[once].tolist(), home.tolist(), (at[once] - first[home]).tolist(), strict=True):
-        machine.add_word(coded[text][begin : begin + WINDOW], index)
+    patterns: dict[tuple[int, int, int], int] = {}
+    runs: list[np.ndarray] = []
+    wanted: list[int] = []
+    for lo, hi, live in zip(head.tolist(), tail.tolist(), busy.tolist(), strict=True):
+        key = (int(which[lo]), int(which[hi - 1]), hi - lo)
+        if key not in patterns:
+            patterns[key] = len(runs)
+            runs.append(which[lo:hi])
+            i, begin = int(text[lo]), int(at[lo] - first[text[lo]])
+            machine.add_word(code(i)[begin : begin + hi - lo + WINDOW - 1], patterns[key])
+        if live and (not wanted or wanted[-1] != text[lo]):
+            wanted.append(int(text[lo]))
+    if not wanted:
+        return FOUND.empty_table()
     machine.make_automaton()
-    doc0, start0 = confirmed["doc"].to_pylist(), confirmed["start"].to_pylist()
-    docs, marks, begins = (stream[c].to_pylist() for c in ("doc_id", "mark", "start"))
     out: tuple[list, list, list] = ([], [], [])
-    for text in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
-        doc = LAST if docs[text] is None else docs[text]
-        shift = begins[text] - WINDOW + 1
-        later = [end + shift for end, index in machine.iter(coded[text]) if doc0[index] != doc or start0[index] != end + shift]
-        if later:
-            for column, value in zip(out, (docs[text], marks[text], later), strict=True):
+    for i in wanted:
+        own, shift = LAST if docs[i] is None else docs[i], int(begins[i]) - WINDOW + 2
+        gone: set[int] = set()
+        for end, pattern in machine.iter(code(i)):
+            run = runs[pattern]
+            starts = np.arange(end + shift - len(run), end + shift)
+            gone.update(starts[(doc0[run] != own) | (start0[run] != starts)].tolist())
+        if gone:
+            for column, value in zip(out, (docs[i], marks[i], sorted(gone)), strict=True):
                 column.append(value)
     return pa.table([pa.array(c, t) for c, t in zip(out, FOUND.types, strict=True)], schema=FOUND)
 
