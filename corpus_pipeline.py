@@ -40,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", benchmark), ("curve_packing", packing)]
 
-#: Learned scores, similarity groups and token ids are beyond SQL; tests/llm holds the stages against brute-force versions.
+#: Learned scores, similarity groups and token ids are beyond SQL; tests/llm holds the operators, not yet the whole run, against brute force.
 ORACLE_SQL = None
 
 
