@@ -35,7 +35,7 @@ BANDS, ROWS = 30, 5
 STEP = 30
 TOLERANCE = 1e-7
 TILE = 256
-#: Classes that one comparing task gets, about.
+#: Rows of tiles (a class in a tile pair) that one comparing task gets, about.
 BIN_ROWS = 4_000
 BITMAP_BITS = 27
 LAST = (1 << 63) - 1
@@ -267,10 +267,11 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     stars = banded.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     candidates = materialise(connected_components(stars), "candidates")
     sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    dealt = sized.agg(F.sum(F.col("members") * F.ceil(F.col("members") / TILE))).first()[0] or 0  # a class goes to every tile pair of its row
     sets = _candidate_sets(texts.select("text"), spark.sparkContext.broadcast(_bitmap(candidates)))
     rows = candidates.join(sized, "component").join(classes.select("node", "signature", "weight"), "node").join(sets, "node")
     tiled = rows.mapInArrow(_tiles, "node long, component long, weight long, signature binary, shingles binary, i long, j long, side int")
-    bins = parts_for(candidates.count(), BIN_ROWS)
+    bins = parts_for(dealt, BIN_ROWS)
     own_bin = F.pmod(F.xxhash64("component", "i", "j"), F.lit(bins)).cast("int")
     links = materialise(tiled.withColumn("bin", own_bin).groupBy("bin").applyInArrow(compare_bin, "node long, other long, links long"), "links")
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
