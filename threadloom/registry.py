@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql.window import Window
 
 from threadloom.functions import stats, text
 from threadloom.operators import aggregates, graph, joins, timeseries, windows
+from threadloom.plans.fixpoint import shared_folder
+from threadloom.sources import files
+from threadloom.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -657,3 +661,73 @@ def json_props(spark, d):
 def date_parts(spark, d):
     ts = F.col("ts")
     return t(spark, d, "events").select("event_id", F.to_date(ts).alias("day"), F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts)).alias("iso_week"), F.date_format(ts, "yyyy-MM").alias("month"), (F.weekday(ts) + 1).alias("dow"))
+
+
+# Sources, collection state, streams
+
+@query("""SELECT scope, event_type, segment FROM (VALUES ('w1'), ('w2'), ('w3')) a(scope), (VALUES ('click'), ('view')) b(event_type), (VALUES ('BUILDING'), ('MACHINERY')) c(segment)""")
+def task_grid(spark, d):
+    return files.task_grid(spark, {"scope": [w[0] for w in WINDOWS], "event_type": ["click", "view"], "segment": ["BUILDING", "MACHINERY"]})
+
+
+@query("""SELECT user_id, string_agg(event_type, '|' ORDER BY event_type) AS routes FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id""")
+def merged_routes(spark, d):
+    return files.merged_routes(t(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join("routes", "|").alias("routes"))
+
+
+@query("""SELECT o_orderpriority, count(*) AS tasks, count(*) FILTER (o_orderstatus = 'F') AS complete, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'F') = count(*) AS finished FROM orders GROUP BY o_orderpriority""")
+def completion_rollup(spark, d):
+    return files.completion(t(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "F", "P")
+
+
+@query("""SELECT user_id, arg_min(event_type, ROW(ts, event_id)) AS first_handle, count(*) AS rows, bool_or(event_type = 'purchase') AS strong FROM events GROUP BY user_id""")
+def discovered_authors(spark, d):
+    return files.discovered(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", F.col("event_type") == "purchase")
+
+
+@query("""SELECT user_id, min(event_id) AS event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.value > 90 AND p.user_id = e.user_id) GROUP BY user_id""")
+def unseen_keys(spark, d):
+    e = t(spark, d, "events")
+    first = e.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return files.unseen(first, e.where("event_type = 'purchase' and value > 90"), "user_id")
+
+
+@query("""SELECT conv_id, max(turn) AS replies FROM conversations GROUP BY conv_id HAVING max(turn) >= 5""")
+def thread_candidates(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("replies")).where("replies >= 5")
+
+
+@query(f"""SELECT day, count(*) AS n, count(*) >= 340 AS saturated FROM ({EVENTS_DAY}) GROUP BY day""", dates=("day",))
+def saturated_days(spark, d):
+    return day_events(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n")).withColumn("saturated", F.col("n") >= 340)
+
+
+@query(f"""SELECT event_id, name AS anchor, coalesce(day - w > 14, false) AS is_late, coalesce(day - w < 0, false) AS is_early FROM ({EVENTS_DAY}), (VALUES ('E1', DATE '2024-01-05'), ('E2', DATE '2024-01-15'), ('E3', DATE '2024-01-25')) c(name, w)""")
+def flagged_late(spark, d):
+    cal = spark.createDataFrame(CALENDAR, "anchor string, w string").select("anchor", F.to_date("w").alias("w"))
+    paired = day_events(spark, d).crossJoin(F.broadcast(cal))  # three rows
+    return streams.flag_late(paired, F.col("day"), F.col("w"), 14).select("event_id", "anchor", "is_late", "is_early")
+
+
+def _drained(spark: SparkSession, shape: DataFrame, mode: str) -> DataFrame:
+    at = f"{shared_folder(spark)}/threadloom/stream-{uuid.uuid4().hex}"
+    return streams.drain(shape, at + "/out", at + "/state", mode)
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return streams.table_stream(spark, d, "events", t(spark, d, "events").schema)
+
+
+@query(f"""SELECT day, event_type, count(*) AS n FROM ({EVENTS_DAY}) GROUP BY ALL""", dates=("day",))
+def stream_day_counts(spark, d):
+    return _drained(spark, streams.day_counts(_event_stream(spark, d), "ts", ["event_type"]), "complete")
+
+
+@query("""SELECT DISTINCT user_id, event_type FROM events""")
+def stream_first_seen(spark, d):
+    return _drained(spark, streams.first_seen(_event_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+
+
+@query(f"""SELECT CAST(day - CAST(i AS INTEGER) AS DATE) AS start, event_type, count(*) AS n FROM ({EVENTS_DAY}), range(7) r(i) GROUP BY ALL""", dates=("start",))
+def stream_sliding_weeks(spark, d):
+    return _drained(spark, streams.sliding_counts(_event_stream(spark, d), "ts", ["event_type"]), "complete")
