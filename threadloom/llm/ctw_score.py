@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import documents, materialise, parts_for
 from threadloom.llm.hashing import distinct, word_keys
 
-DEPTH = 4
+DEPTH = 5
 CHUNK_ROWS = 4096
 SHARD_GRAMS = 400_000
 END = 255
