@@ -7,7 +7,7 @@ read alone, in parallel. Each row carries its start within its part, so a docume
 parts before: one number a part, not a pass over the ids.
 
 Defined results: a null or empty text has the end id alone; a null ``doc_id`` sorts first; repeated ids lie side by side, by
-text; an empty table writes no rows; other columns are ignored.
+a hash of the text; an empty table writes no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), part, np.int32)), piece["doc_id"], pa.array(total + ends - sizes), pa.array(sizes), lists], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
                 total += int(ends[-1])
 
-    ordered = documents(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # bounds are sampled on the driver, so they must not hold texts: equal ids are parted by a hash
+    keyed = documents(docs).withColumn("mark", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     ordered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
 
