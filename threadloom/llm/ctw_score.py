@@ -29,7 +29,9 @@ from threadloom.llm.common import documents, materialise, parts_for
 from threadloom.llm.hashing import distinct, word_keys
 
 DEPTH = 5
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 16384
+#: Texts of a chunk whose keys are held at a time.
+STEP = 2048
 SHARD_GRAMS = 400_000
 END = 255
 GRAM, WORD = 0, 1
@@ -79,17 +81,27 @@ def _lower(table: pa.Table) -> list[bytes]:
     return [t.encode().lower() for t in table["text"].to_pylist()]
 
 
+def _merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One tally of several."""
+    keys, n = (np.concatenate(x) for x in zip(*tallies, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[head], np.add.reduceat(n, head)
+
+
 def count_chunk(table: pa.Table) -> pa.Table:
-    texts, train = _lower(table), in_training(table["doc_id"].to_pylist())
-    chunk = table["chunk"][0].as_py()
+    chunk, found = table["chunk"][0].as_py(), {GRAM: [], WORD: []}
+    for lo in range(0, table.num_rows, STEP):
+        part = table.slice(lo, STEP)
+        texts, train = _lower(part), in_training(part["doc_id"].to_pylist())
+        keys, counts = _by_parts(gram_keys, texts)
+        found[GRAM].append(_tally(keys, np.repeat(train, counts)))
+        keys, counts = _by_parts(word_keys, texts)
+        found[WORD].append(_tally(np.r_[keys, np.full(len(texts), END_WORD)], np.r_[np.repeat(train, counts), train]))
     out = []
-    for kind, keys_of in ((GRAM, gram_keys), (WORD, word_keys)):
-        keys, counts = _by_parts(keys_of, texts)
-        if kind == WORD:
-            keys, train_of = np.r_[keys, np.full(len(texts), END_WORD)], np.r_[np.repeat(train, counts), train]
-        else:
-            train_of = np.repeat(train, counts)
-        key, n = _tally(keys, train_of)
+    for kind, tallies in found.items():
+        key, n = _merged(tallies)
         out.append(pa.table({"chunk": np.full(len(key), chunk, np.int32), "kind": np.full(len(key), kind, np.int32), "key": key.view(np.int64), "n": n.astype(np.int64)}))
     return pa.concat_tables(out)
 
@@ -204,42 +216,48 @@ def shard_scores(table: pa.Table, upper: dict[str, np.ndarray]) -> pa.Table:
     return pa.table({"key": table["key"], "value": np.log10(p).reshape(-1, 8).sum(axis=1)})
 
 
+def _by_text(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    total, at = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(counts)]
+    return total[at[1:]] - total[at[:-1]]
+
+
 def score_chunk(docs: pa.Table, values: pa.Table, tokens: int, distinct: int) -> pa.Table:
     """Sums over each document of a chunk, from the values of the chunk's distinct grams and words."""
-    texts, kind = _lower(docs), np.asarray(values["kind"])
-    keys, value = np.asarray(values["key"]).view(np.uint64), np.asarray(values["value"])
+    kind, keys, value = np.asarray(values["kind"]), np.asarray(values["key"]).view(np.uint64), np.asarray(values["value"])
+    known = {}
+    for which in (GRAM, WORD):
+        at = np.flatnonzero(kind == which)
+        at = at[np.argsort(keys[at])]
+        known[which] = keys[at], value[at]
+    del kind, keys, value
 
     def found(which: int, wanted: np.ndarray) -> np.ndarray:
-        own = keys[kind == which]
-        order = np.argsort(own)
-        return value[kind == which][order][np.searchsorted(own[order], wanted)]
-
-    def by_text(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(x)]
-        at = np.r_[0, np.cumsum(counts)]
-        return total[at[1:]] - total[at[:-1]]
-
-    grams, sizes = _by_parts(gram_keys, texts)
-    score = np.add.reduceat(found(GRAM, grams), np.r_[0, np.cumsum(sizes)[:-1]])
-    words, n_words = _by_parts(word_keys, texts)
-    c = found(WORD, words)
-    end = float(found(WORD, np.array([END_WORD]))[0])
-    floor = tokens + distinct + 1
-    base = by_text(np.log10((c + 1) / floor), n_words) + math.log10((end + 1) / floor)
-    known = by_text((c > 0).astype(np.int64), n_words) + (end > 0)
-    n = len(texts)
-    return pa.table(
-        {
-            "doc_id": docs["doc_id"],
-            "held_out": ~in_training(docs["doc_id"].to_pylist()),
-            "n_tokens": (n_words + 1).astype(np.int64),
-            "n_known": known.astype(np.int64),
-            "train_tokens": np.full(n, tokens, np.int64),
-            "base_score": base,
-            "score": score,
-            "bytes": (sizes - 1).astype(np.int64),
-        }
-    )
+        own, its = known[which]
+        return its[np.searchsorted(own, wanted)]
+
+    end = float(found(WORD, np.array([END_WORD]))[0]) if docs.num_rows else 0.0
+    floor, out = tokens + distinct + 1, []
+    for lo in range(0, docs.num_rows, STEP):
+        part = docs.slice(lo, STEP)
+        texts, ids = _lower(part), part["doc_id"].to_pylist()
+        grams, sizes = _by_parts(gram_keys, texts)
+        words, n_words = _by_parts(word_keys, texts)
+        c = found(WORD, words)
+        out.append(
+            pa.table(
+                {
+                    "doc_id": part["doc_id"],
+                    "held_out": ~in_training(ids),
+                    "n_tokens": (n_words + 1).astype(np.int64),
+                    "n_known": (_by_text((c > 0).astype(np.int64), n_words) + (end > 0)).astype(np.int64),
+                    "train_tokens": np.full(len(ids), tokens, np.int64),
+                    "base_score": _by_text(np.log10((c + 1) / floor), n_words) + math.log10((end + 1) / floor),
+                    "score": np.add.reduceat(found(GRAM, grams), np.r_[0, np.cumsum(sizes)[:-1]]),
+                    "bytes": (sizes - 1).astype(np.int64),
+                }
+            )
+        )
+    return pa.concat_tables(out)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long"
