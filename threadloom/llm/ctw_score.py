@@ -29,9 +29,9 @@ from threadloom.llm.common import documents, materialise, parts_for
 from threadloom.llm.hashing import distinct, word_keys
 
 DEPTH = 5
-CHUNK_ROWS = 16384
+CHUNK_ROWS = 12288
 #: Texts of a chunk whose keys are held at a time.
-STEP = 2048
+STEP = 1024
 SHARD_GRAMS = 400_000
 END = 255
 GRAM, WORD = 0, 1
