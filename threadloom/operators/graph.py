@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from threadloom.plans.fixpoint import connected_components, saved
+from threadloom.plans.fixpoint import connected_components, fixpoint, saved
 
 
 def actor_edges(edges: DataFrame, source: str, target: str, scope: list[str], day: str) -> DataFrame:
@@ -71,26 +72,19 @@ def birank(edges: DataFrame, left: str, right: str, weight: str, rounds: int = 2
     return a.select(F.lit("left").alias("side"), F.col("l").alias("node"), F.col("x").alias("score")).unionByName(b.select(F.lit("right").alias("side"), F.col("r").alias("node"), F.col("y").alias("score")))
 
 
-def core_numbers(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """k-core number of each node of a simple undirected graph, by peeling."""
+def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:
+    """k-core number of each node of a simple undirected graph: from the degrees, every node takes the h-index of its neighbours'
+    numbers until none changes. Numbers only fall, so an unchanged sum is the fixpoint; one round peels what takes many by degree."""
     both = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    left = saved(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "core")
-    k, out = 0, None
-    while True:
-        degree = left.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-        least = degree.agg(F.min("d")).first()[0]
-        if least is None:
-            return out
-        k = max(k, least)
-        peel = saved(degree.where(F.col("d") <= k).select("u"), "peel")
-        rows = peel.select(F.col("u").alias("node"), F.lit(k).alias("core"))
-        out = rows if out is None else out.unionByName(rows)
-        rest = left.join(peel, "u", "left_anti").join(peel.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
-        kept = saved(left.join(peel, "u", "left_anti").select("u").distinct(), "kept")
-        left = saved(rest, "core")
-        alone = saved(kept.join(left.select("u").distinct(), "u", "left_anti"), "alone")
-        if not alone.isEmpty():
-            out = out.unionByName(alone.select(F.col("u").alias("node"), F.lit(k).alias("core")))
+    links = saved(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "core")
+
+    def h_index(cores: DataFrame) -> DataFrame:
+        near = links.join(cores.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
+        return near.select("u", F.least("core", above).alias("h")).groupBy(F.col("u").alias("node")).agg(F.max("h").alias("core"))
+
+    degrees = saved(links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")), "round")
+    return fixpoint(degrees, h_index, lambda cores: tuple(cores.agg(F.sum("core")).first()), rounds).select("node", F.col("core").cast("int").alias("core"))
 
 
 def modularity(edges: DataFrame, source: str, target: str, weight: str, member: DataFrame, resolution: float = 1.0) -> DataFrame:

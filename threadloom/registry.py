@@ -342,7 +342,7 @@ _CO = "SELECT DISTINCT o_custkey AS a, -l_suppkey AS b FROM orders JOIN lineitem
 
 
 def co_edges(spark, d):
-    return t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(t(spark, d, "lineitem").where("l_quantity >= 49"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
+    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
 
 
 @query(f"""
