@@ -99,7 +99,7 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                coded = [own.encode(t) + end for t in piece["text"].to_pylist()]
+                coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
                 sizes = np.array([len(c) // 2 for c in coded], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), part, np.int32)), piece["doc_id"], pa.array(total + ends - sizes), pa.array(coded, pa.binary())], names=["part", "doc_id", "local_start", "ids"])

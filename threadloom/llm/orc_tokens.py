@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 piece = batch.slice(lo, BATCH)
-                coded = [own.encode(t) + end for t in piece["text"].to_pylist()]
+                coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
                 sizes = np.array([len(c) // 2 for c in coded], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(b"".join(coded), dtype="<u2").astype(np.int32)

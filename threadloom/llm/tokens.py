@@ -3,8 +3,8 @@
 The vocabulary's pre-tokeniser never joins text across a single space that follows a non-blank, so such
 spaces cut a text into chunks that encode independently. Each distinct chunk goes through the library's BPE
 model once a worker process; texts are then joined from the memo. A text with a blank before a space is cut by
-the pre-tokeniser's own pattern as a whole. Ids equal those of ``Tokenizer.encode`` with special tokens taken
-as ordinary text (``encode_special_tokens``).
+the pre-tokeniser's own pattern as a whole. ``Encoder.ids`` cuts a text at the vocabulary's added tokens first, and gives the ids of
+``Tokenizer.encode(text, add_special_tokens=False)``; ``Encoder.encode`` takes them as ordinary text (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -45,6 +45,11 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids must fit 16 bits")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens must match literally")
+        self._added = {t.content: np.array([i], dtype="<u2").tobytes() for i, t in added.items()}
+        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")")
         self._model, self._letters = tokenizer.model, _byte_letters()
         self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
@@ -73,6 +78,12 @@ class Encoder:
             memo[chunk] = self._chunk(" " + chunk)
         return (self._chunk(first) if first else b"") + b"".join(map(memo.__getitem__, rest))
 
+    def ids(self, text: str) -> bytes:
+        """As ``encode``, with added tokens as their own ids."""
+        if not any(t in text for t in self._added):
+            return self.encode(text)
+        return b"".join(self._added.get(part) or self.encode(part) for part in self._cut.split(text))
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
