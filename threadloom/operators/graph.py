@@ -40,36 +40,41 @@ def reach_levels(edges: DataFrame, parent: str, child: str, limit: int = 10_000)
     raise RuntimeError("deeper than the limit")
 
 
-def pagerank(edges: DataFrame, source: str, target: str, weight: str, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Weighted PageRank by power iteration; dangling mass goes to all nodes alike."""
+def pagerank(edges: DataFrame, source: str, target: str, weight: str, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """Weighted PageRank by power iteration; dangling mass goes to all nodes alike. With a ``tolerance`` it ends once the ranks change
+    by less in sum, and fails if ``rounds`` do not get there; without, it does ``rounds``."""
     e = saved(edges.groupBy(F.col(source).alias("s"), F.col(target).alias("t")).agg(F.sum(weight).alias("w")), "edges")
     out = e.groupBy("s").agg(F.sum("w").alias("total"))
     steps = saved(e.join(out, "s").select("s", "t", (F.col("w") / F.col("total")).alias("p")), "steps")
     nodes = saved(e.select(F.col("s").alias("node")).unionByName(e.select(F.col("t").alias("node"))).distinct().join(out.select(F.col("s").alias("node"), F.lit(True).alias("sends")), "node", "left"), "nodes")
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n)) if n else nodes.withColumn("rank", F.lit(0.0))
-    for _ in range(rounds):
-        idle = ranks.agg(F.sum(F.when(F.col("sends").isNull(), F.col("rank")).otherwise(0.0))).first()[0] or 0.0
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks = nodes.select("node", "sends", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before"))
+    for k in range(rounds + 1):
+        idle, change = ranks.agg(F.sum(F.when(F.col("sends").isNull(), F.col("rank")).otherwise(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))).first()
+        if k == rounds or tolerance is not None and change < tolerance:
+            break
         got = ranks.join(steps, ranks["node"] == steps["s"]).groupBy("t").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        new = nodes.join(got, nodes["node"] == got["t"], "left").select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)).alias("rank"))
+        new = ranks.join(got, ranks["node"] == got["t"], "left").select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)).alias("rank"), F.col("rank").alias("before"))
         ranks = saved(new, "ranks")
+    if tolerance is not None and not change < tolerance:
+        raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
     return ranks.select("node", "rank")
 
 
 def birank(edges: DataFrame, left: str, right: str, weight: str, rounds: int = 20) -> DataFrame:
     """Alternating scores of a bipartite graph, each side from the other's previous scores, scaled to sum 1."""
     e = saved(edges.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.sum(weight).cast("double").alias("w")), "edges")
-    a = e.select("l").distinct().withColumn("x", F.lit(1.0))
-    b = e.select("r").distinct().withColumn("y", F.lit(1.0))
-
-    def scaled(df: DataFrame, c: str) -> DataFrame:
-        return df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("_t")))).withColumn(c, F.col(c) / F.col("_t")).drop("_t")  # one row
-
+    ends = saved(e.select(F.lit("left").alias("side"), F.col("l").alias("node"), F.col("r").alias("other"), "w").unionByName(e.select(F.lit("right").alias("side"), F.col("r").alias("node"), F.col("l").alias("other"), "w")), "ends")
+    scores = ends.select("side", "node").distinct().withColumn("score", F.lit(1.0))
+    is_left = F.col("side") == "left"
+    total = {"left": 1.0, "right": 1.0}
     for _ in range(rounds):
-        na = e.join(b, "r").groupBy("l").agg(F.sum(F.col("w") * F.col("y")).alias("x"))
-        nb = e.join(a, "l").groupBy("r").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        a, b = saved(scaled(na, "x"), "left"), saved(scaled(nb, "y"), "right")
-    return a.select(F.lit("left").alias("side"), F.col("l").alias("node"), F.col("x").alias("score")).unionByName(b.select(F.lit("right").alias("side"), F.col("r").alias("node"), F.col("y").alias("score")))
+        seen = scores.select(F.when(is_left, "right").otherwise("left").alias("side"), F.col("node").alias("other"), (F.col("score") / F.when(is_left, total["left"]).otherwise(total["right"])).alias("seen"))
+        scores = saved(ends.join(seen, ["side", "other"]).groupBy("side", "node").agg(F.sum(F.col("w") * F.col("seen")).alias("score")), "scores")
+        total |= {side: t or 1.0 for side, t in scores.groupBy("side").agg(F.sum("score")).collect()}  # two rows
+    return scores.select("side", "node", (F.col("score") / F.when(is_left, total["left"]).otherwise(total["right"])).alias("score"))
 
 
 def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:

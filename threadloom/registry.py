@@ -362,13 +362,13 @@ def thread_depth(spark, d):
 @query()
 def actor_pagerank(spark, d):
     e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("s"), (-F.col("l_suppkey")).alias("t")).agg(F.count(F.lit(1)).alias("w"))
-    return graph.pagerank(e, "s", "t", "w", rounds=5).select("node", r9("rank").alias("rank"))
+    return graph.pagerank(e, "s", "t", "w", rounds=300, tolerance=1e-6).select("node", r9("rank").alias("rank"))
 
 
 @query()
 def bipartite_birank(spark, d):
     e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", F.lit(1.0).alias("w"))
-    return graph.birank(e, "o_custkey", "l_suppkey", "w", rounds=5).select("side", "node", r9("score").alias("score"))
+    return graph.birank(e, "o_custkey", "l_suppkey", "w", rounds=100).select("side", "node", r9("score").alias("score"))
 
 
 @query()
