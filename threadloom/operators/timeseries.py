@@ -1,4 +1,4 @@
-"""Daily series: baseline-normalised rates, prewhitened lag correlation, rolling origins, window stitching, segmented regression."""
+"""Daily series: baseline-normalised rates, prewhitened lag correlation, rolling origins, window stitching."""
 
 from __future__ import annotations
 

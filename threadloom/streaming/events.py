@@ -1,4 +1,4 @@
-"""Structured Streaming over file sources: day buckets, first-seen keys across restarts, lateness flags, window joins.
+"""Structured Streaming over file sources: day buckets, first-seen keys across restarts, sliding windows, lateness flags.
 
 Every function takes and returns a DataFrame, streaming or not; ``drain`` runs what is there now and stops, and a later run with the
 same checkpoint goes on from it.
