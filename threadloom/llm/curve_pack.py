@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, materialise
-from threadloom.llm.tokens import encoder
+from threadloom.llm.tokens import encoder, no_cycles
 
 LENGTH = 2048
 DIMS, BITS = 3, 10
@@ -76,16 +76,16 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and the Hilbert key of the text's hashed vector."""
+    """``doc_id``, ``text``, a hash of the text and the Hilbert key of its hashed vector."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
                 key = hilbert_key(project([t.encode() for t in piece["text"].to_pylist()]))
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["text"], pa.array(key)], names=["doc_id", "text", "curve"])
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["text"], piece["mark"], pa.array(key)], names=["doc_id", "text", "mark", "curve"])
 
-    return documents(docs).mapInArrow(keys, "doc_id long, text string, curve long")
+    return documents(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(keys, "doc_id long, text string, mark long, curve long")
 
 
 def token_stream(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -99,13 +99,15 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
+                with no_cycles():
+                    coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
                 sizes = np.array([len(c) // 2 for c in coded], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), part, np.int32)), piece["doc_id"], pa.array(total + ends - sizes), pa.array(coded, pa.binary())], names=["part", "doc_id", "local_start", "ids"])
                 total += int(ends[-1])
 
-    order = ("curve", "doc_id", "text")
+    # bounds are sampled on the driver, so they must not hold texts: rows with one key and id are parted by a hash
+    order = ("curve", "doc_id", "mark")
     sorted_docs = curve_keys(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(sorted_docs.mapInArrow(encode, "part int, doc_id long, local_start long, ids binary"), "token-stream")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import documents, fresh_path
-from threadloom.llm.tokens import encoder
+from threadloom.llm.tokens import encoder, no_cycles
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
@@ -39,7 +39,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 piece = batch.slice(lo, BATCH)
-                coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
+                with no_cycles():
+                    coded = [own.ids(t) + end for t in piece["text"].to_pylist()]
                 sizes = np.array([len(c) // 2 for c in coded], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(b"".join(coded), dtype="<u2").astype(np.int32)

@@ -9,6 +9,11 @@ the pre-tokeniser's own pattern as a whole. ``Encoder.ids`` cuts a text at the v
 
 from __future__ import annotations
 
+import gc
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import regex
 
@@ -18,8 +23,10 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _WIDE = regex.compile(rf"[{SPACE}] ")
 _NARROW = tuple(b + " " for b in " \t\n\x0b\x0c\r")
+#: Marks that form a piece of their own behind a word.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Entries of the memo of one worker process; about 200 bytes each.
-MEMO = 1_000_000
+MEMO = 1_200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,6 +43,18 @@ def _byte_letters() -> dict[int, str]:
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Memo(dict):
+    """Bytes by key; a missing key is worked out once."""
+
+    def __init__(self, work):
+        super().__init__()
+        self._work = work
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self._work(key)
+        return value
+
+
 class Encoder:
     """Token ids of texts as little-endian 16-bit bytes; one instance a vocabulary and process."""
 
@@ -50,33 +69,33 @@ class Encoder:
             raise ValueError("added tokens must match literally")
         self._added = {t.content: np.array([i], dtype="<u2").tobytes() for i, t in added.items()}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")")
-        self._model, self._letters = tokenizer.model, _byte_letters()
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._tokenize, self._letters = tokenizer.model.tokenize, _byte_letters()
+        self._pieces = _Memo(self._piece)
+        self._chunks = _Memo(self._chunk)
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids of one piece, in the byte-level alphabet."""
+        return array("H", [t.id for t in self._tokenize(piece)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            mapped = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
-            ids = self._pieces[piece] = np.array([t.id for t in self._model.tokenize(mapped)], dtype="<u2").tobytes()
-        return ids
+        return self._ids(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters))
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and chunk[0] == " " or chunk.isalpha():
-            return self._piece(chunk)
-        return b"".join(map(self._piece, PIECES.findall(chunk)))
+    def _chunk(self, rest: str) -> bytes:
+        """Ids of a space and the blank-free start of ``rest``; a word with or without one mark behind it needs no pattern."""
+        if rest.isalpha():
+            return self._ids(self._letters[32] + rest) if rest.isascii() else self._piece(" " + rest)
+        if rest[:-1].isalpha() and rest[-1] in _MARKS:
+            return self._chunks[rest[:-1]] + self._pieces[rest[-1]]
+        return b"".join([self._chunks[p[1:]] if p[0] == " " and p[1:].isalpha() else self._pieces[p] for p in PIECES.findall(" " + rest)])
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in _NARROW) or not text.isascii() and _WIDE.search(text):
-            return b"".join(map(self._piece, PIECES.findall(text)))
-        if len(self._pieces) > MEMO or len(self._chunks) > MEMO:
+            return b"".join(map(self._pieces.__getitem__, PIECES.findall(text)))
+        if len(self._pieces) + len(self._chunks) > MEMO:
             self._pieces.clear()
             self._chunks.clear()
         first, *rest = text.split(" ")
-        memo = self._chunks
-        for chunk in set(rest).difference(memo):
-            memo[chunk] = self._chunk(" " + chunk)
-        return (self._chunk(first) if first else b"") + b"".join(map(memo.__getitem__, rest))
+        return b"".join(map(self._pieces.__getitem__, PIECES.findall(first))) + b"".join(map(self._chunks.__getitem__, rest))
 
     def ids(self, text: str) -> bytes:
         """As ``encode``, with added tokens as their own ids."""
@@ -85,6 +104,18 @@ class Encoder:
         return b"".join(self._added.get(part) or self.encode(part) for part in self._cut.split(text))
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Encoding makes no cycles; the collector would only walk the memo again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
