@@ -31,6 +31,16 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``documents`` with the whole row in the struct ``row``, so that no name of the table's own can clash with a working column."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def field(name: str) -> Column:
+    """A column of the table in its ``boxed`` row."""
+    return F.col("row").getField(name).alias(name)
+
+
 def fold(column: Column, parts: int) -> Column:
     """A part number from a 64-bit hash."""
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")

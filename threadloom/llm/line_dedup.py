@@ -2,18 +2,20 @@
 
 A line is its set of words. All words of the corpus are counted into a table of fixed size, which gives every word one place in a
 global order from rare to common (equal counts by hash). Two lines with Jaccard at least THRESHOLD share a word among the first
-``n - ceil(THRESHOLD * n) + 1`` of each in that order, so prefix words meet in tasks by hash; there the length filter, the positional
-filter (words left after the shared one must suffice) and a parity bitmap (which bounds the symmetric difference from below) leave
-candidates, and these are verified on the word sets. A line goes if an earlier line, by (doc_id, line number), matches it; lines are
-judged on the input, not on what is left.
-
-Lines with equal sets collapse before they meet, and each line proposes only its earliest candidates per prefix word first; a line
-that none of them settles, though more were there, proposes all in a second round. Prefix words of a hot hash bucket are split into
-blocks that meet pairwise, so no task gets an unbounded group.
-
-Defined results: blank lines stay; a null or empty text has none; lines of one to three words match equal sets only (nothing else
-reaches 0.8); a null ``doc_id`` comes last; rows that repeat a ``doc_id`` are one document as to order; an empty table gives an
-empty table; other columns are ignored by the report and kept by the filter.
+``n - ceil(THRESHOLD * n) + 1`` of each in that order, so prefix words meet in tasks by hash; a word that occurs once can't be shared
+and sends no row. At the meeting the length filter, the positional filter (words left after the shared one must suffice) and a parity
+bitmap (which bounds the symmetric difference from below) leave candidates, and these are verified on the words themselves. A line
+goes if an earlier line, by (doc_id, line number), matches it; lines are judged on the input, not on what is left.
+
+Lines with equal sets collapse before they meet: within a leaf (one batch of documents), then over the leaves, and the verdict goes
+down the same way, so a line that a third of all documents hold is one row a leaf. Each line proposes only its earliest candidates per
+prefix word first; a line that none of them settles, though more were there, proposes all in a second round. A prefix word with more
+than SPLIT_ROWS rows is cut into blocks of that many, which meet pairwise; the list of such words is a table.
+
+Defined results: blank lines stay; a null or empty text has none; a very long text is taken in parts of 60,000 lines; lines of one to
+three words match equal sets only (nothing else reaches 0.8); of equal places (repeated rows) all lines stay or go together; a null
+``doc_id`` comes last; rows that repeat a ``doc_id`` are one document as to order; an empty table gives an empty table; other columns,
+whatever their names, are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -22,24 +24,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, materialise, parts_for
+from threadloom.llm.common import boxed, documents, field, materialise, parts_for
 from threadloom.llm.hashing import BASE, distinct, line_words, mix
 
 THRESHOLD = 0.8
-#: log2 of the rarity table's size; 8 MB on the driver and in each worker, whatever the corpus.
-RARITY_BITS = 20
+#: log2 of the rarity table's size: 16 MB on the driver and in each worker, whatever the corpus.
+RARITY_BITS = 24
+BLOCK_BITS = 16
+#: Partial word counts merged at once.
+MERGE_BITS = 6
 BITMAP_BITS = 27
 #: Candidates a line proposes per prefix word in the first round.
 FIRST = 2
 #: Prefix rows that meet in one task, about.
 TASK_ROWS = 400_000
-#: Buckets of prefix words whose share is over one in HOT are split; there are fewer than HOT of them.
-HOT = 1000
+#: Prefix rows of one word that meet in one block.
+SPLIT_ROWS = 50_000
+#: Prefix words that are joined by broadcast when they are to be split; more of them join by shuffle.
+HOT_BOUND = 100_000
+#: Lines of a leaf, about.
+LEAF_LINES = 250_000
 LAST = (1 << 63) - 1
 STEP = 512
+_SALT = 0xD1B54A32D192ED03
 _TOKEN_BITS = 42
 _TOKEN_MASK = np.uint64((1 << _TOKEN_BITS) - 1)
 
@@ -50,28 +60,34 @@ class Lines:
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
         count = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
         keys, line = line_words(texts)
-        self.all_keys = keys
         first = np.cumsum(count) - count
-        rank = np.uint64(0) if rarity is None else rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
         if count.sum() >= 1 << 16:
             raise ValueError("too many lines at once")
+        rank = np.uint64(0) if rarity is None else rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
         packed = distinct((line.astype(np.uint64) << np.uint64(48)) | rank | (keys >> np.uint64(64 - _TOKEN_BITS)))
         line = (packed >> np.uint64(48)).astype(np.int64)
         self.token = packed & _TOKEN_MASK
+        self.rank = (packed >> np.uint64(_TOKEN_BITS)).astype(np.uint8) & np.uint8(63)
         self.start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
         self.size = np.diff(np.r_[self.start, len(packed)])
         line = line[self.start]
         self.text = np.searchsorted(first, line, side="right") - 1
         self.number = line - first[self.text]
         spread = mix(self.token + np.uint64(BASE))
-        total = np.add.reduceat(spread, self.start) if len(packed) else np.zeros(0, np.uint64)
-        self.node = mix(total + self.size.astype(np.uint64)).view(np.int64)
+        total = lambda x: np.add.reduceat(x, self.start) if len(packed) else np.zeros(0, np.uint64)
+        self.node = mix(total(spread) + self.size.astype(np.uint64)).view(np.int64)
+        self.check = (mix(total(spread * spread + np.uint64(_SALT))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         self.spread = spread
 
     def bits(self) -> np.ndarray:
         """Parity bitmaps: bit b is the parity of the line's words with hash b."""
         return np.bitwise_xor.reduceat(np.uint64(1) << (self.spread & np.uint64(63)), self.start)
 
+    def firsts(self, doc: np.ndarray) -> np.ndarray:
+        """Indices of the lines of which none earlier, by ``doc`` and number, has the same set."""
+        order = np.lexsort((self.number, doc, self.check, self.node))
+        return order[np.r_[True, (np.diff(self.node[order]) != 0) | (np.diff(self.check[order]) != 0)]] if len(order) else order
+
 
 def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, Lines]]:
     """Lines of a batch, a few texts at a time: never over 2**16 - 1 lines, but for one text that has more (cut into parts by lines)."""
@@ -93,57 +109,109 @@ def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Ite
 
 
 def _order(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([LAST if d is None else d for d in batch["doc_id"].to_pylist()], dtype=np.int64)
-
-
-def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line rows (node, document and line number), and at the end of a partition its word counts by bucket (node holds the bucket, mark the count)."""
-    count = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    names = ["node", "doc_id", "mark", "line"]
-    for batch in batches:
-        for part, lines in line_batches(batch):
-            count += np.bincount((lines.all_keys >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(count))
-            at = pa.array(lines.text)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.node), part["doc_id"].take(at), part["mark"].take(at), pa.array(lines.number.astype(np.int32))], names=names)
-    used = np.flatnonzero(count)
-    for lo in range(0, len(used), 100_000):
-        own = used[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(count[own]), pa.array(np.full(len(own), -1, np.int32))], names=names)
-
+    return np.asarray(batch["doc_id"].fill_null(LAST))
 
-def rarity_ranks(table: DataFrame) -> np.ndarray:
-    """Six-bit ranks of the buckets' counts, rare first: halves of powers of two, so ranks are monotone in the counts."""
-    got = table.where("line = -1").groupBy("node").agg(F.sum("mark").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
-    rank = np.zeros(1 << RARITY_BITS, dtype=np.uint8)
-    rank[np.asarray(got["node"])] = np.minimum(63, np.floor(2 * np.log2(np.maximum(1, np.asarray(got["n"])))).astype(np.int64))
-    return rank
 
+#: A row a line: ``n`` is the number of the leaf's lines with its set on the earliest of them, else 0. A row with line -1 has word counts:
+#: ``leaf`` is the partition, ``node`` the block of the rarity table.
+FACTS = "leaf long, node long, check int, doc_id long, mark long, line int, n int, places binary, counts binary"
 
-def _blocks(bucket: np.ndarray, node: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row index and block pair of every meeting a prefix row takes part in; one, unless its bucket is hot."""
-    ways = np.array([hot.get(b, 1) for b in bucket.tolist()], dtype=np.int64) if hot else np.ones(len(bucket), dtype=np.int64)
-    own = (mix(node.view(np.uint64)) % ways.astype(np.uint64)).astype(np.int64)
-    row = np.repeat(np.arange(len(bucket)), ways)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(ways) - ways, ways)
-    mine = own[row]
-    return row, np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other), mine * 2 + (mine == other)
 
+def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line rows, leaf by leaf, and at the end of a partition its word counts, each line of a step counted once."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    count = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in FACTS.split(", ")])
+    held: list[tuple[np.ndarray, ...]] = []
+    leaf, rows = part << 32, 0
+
+    def flush() -> pa.RecordBatch:
+        node, check, doc, null, mark, line = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((line, doc, check, node))
+        node, check, doc, null, mark, line = (x[order] for x in (node, check, doc, null, mark, line))
+        head = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (check[1:] != check[:-1])])
+        n = np.zeros(len(node), dtype=np.int32)
+        n[head] = np.diff(np.r_[head, len(node)])
+        blank = pa.nulls(len(node), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), leaf)), pa.array(node), pa.array(check), pa.array(doc, mask=null), pa.array(mark), pa.array(line), pa.array(n), blank, blank], schema=schema)
 
-#: ``own`` tells the blocks of a hot bucket's rows apart; its lowest bit says that a block meets itself.
-PREFIX = "meet long, node long, bits long, doc long, line int, size int, place int, own int"
+    for batch in batches:
+        for own, lines in line_batches(batch):
+            doc, null = _order(own), np.asarray(own["doc_id"].is_null())
+            once = lines.firsts(doc[lines.text])
+            word = np.repeat(np.arange(len(once)), lines.size[once])
+            at = lines.start[once][word] + np.arange(len(word)) - (np.cumsum(lines.size[once]) - lines.size[once])[word]
+            np.add.at(count, (lines.token[at] >> np.uint64(_TOKEN_BITS - RARITY_BITS)).astype(np.int64), np.uint32(1))
+            held.append((lines.node, lines.check, doc[lines.text], null[lines.text], np.asarray(own["mark"])[lines.text], lines.number.astype(np.int32)))
+            rows += len(lines.node)
+            if rows >= LEAF_LINES:
+                yield flush()
+                held, leaf, rows = [], leaf + 1, 0
+    if rows:
+        yield flush()
+    for block, counts in enumerate(count.reshape(-1, 1 << BLOCK_BITS)):
+        used = np.flatnonzero(counts)
+        if len(used):
+            row = {"leaf": part, "node": block, "line": -1, "places": used.astype("<u2").tobytes(), "counts": counts[used].astype("<u4").tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def _counts(table: pa.Table) -> np.ndarray:
+    total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+    for places, counts in zip(table["places"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        total[np.frombuffer(places, dtype="<u2")] += np.frombuffer(counts, dtype="<u4")
+    return np.minimum(total, (1 << 32) - 1)
+
+
+def merge_counts(key: tuple, table: pa.Table) -> pa.Table:
+    total = _counts(table)
+    used = np.flatnonzero(total)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "places": pa.array([used.astype("<u2").tobytes()], pa.binary()), "counts": pa.array([total[used].astype("<u4").tobytes()], pa.binary())})
+
+
+def block_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Six-bit ranks of a block's counts, rare first: halves of powers of two, so ranks are monotone in the counts, and 0 is one at most."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            total = _counts(pa.Table.from_pylist([row]))
+            rank = np.minimum(63, np.floor(2 * np.log2(np.maximum(1, total)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([rank.tobytes()], pa.binary())], names=["block", "ranks"])
 
 
-def prefix_rows(texts: DataFrame, rarity, hot: dict[int, int], only=None) -> DataFrame:
-    """A row for each prefix word of each distinct line of a batch, with what the filters need; ``only`` is a bitmap of meetings wanted."""
+def rarity_ranks(table: DataFrame) -> np.ndarray:
+    """The rarity table: partial counts merge in rounds of 64, so no task holds more than that many of one block."""
+    level = table.where("line = -1").select(F.col("node").alias("block"), F.col("leaf").alias("part"), "places", "counts")
+    parts = level.agg(F.max("part")).first()[0] or 0
+    while True:
+        merged = level.withColumn("part", F.shiftright("part", MERGE_BITS))
+        level = merged.groupBy("block", "part").applyInArrow(merge_counts, "block long, part long, places binary, counts binary")
+        parts >>= MERGE_BITS
+        if not parts:
+            break
+    got = level.mapInArrow(block_ranks, "block long, ranks binary").toArrow()  # 2 ** RARITY_BITS bytes
+    rank = np.zeros((1 << (RARITY_BITS - BLOCK_BITS), 1 << BLOCK_BITS), dtype=np.uint8)
+    for block, own in zip(got["block"].to_pylist(), got["ranks"].to_pylist(), strict=True):
+        rank[block] = np.frombuffer(own, dtype=np.uint8)
+    return rank.ravel()
+
+
+#: ``common`` says that the word may have more than SPLIT_ROWS rows.
+PREFIX = "meet long, node long, check int, bits long, doc long, line int, size int, place int, common boolean"
+#: ``own`` tells the blocks of a split word's rows apart; its lowest bit says that a block meets itself.
+MEETING = "meet long, node long, check int, bits long, doc long, line int, size int, place int, own int"
+
+
+def prefix_rows(texts: DataFrame, rarity) -> DataFrame:
+    """A row for each prefix word, of those that occur twice, of each distinct line of a step, with what the filters need."""
+    names = [x.split()[0] for x in PREFIX.split(", ")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, lines in line_batches(batch, rarity.value):
-                if not len(lines.node):
-                    continue
                 doc = _order(part)[lines.text]
-                order = np.lexsort((lines.number, doc, lines.node))
-                pick = order[np.r_[True, np.diff(lines.node[order]) != 0]]
+                pick = lines.firsts(doc)
                 pick = pick[lines.size[pick] > 3]
                 if not len(pick):
                     continue
@@ -151,36 +219,55 @@ def prefix_rows(texts: DataFrame, rarity, hot: dict[int, int], only=None) -> Dat
                 width = size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
                 at = np.repeat(np.arange(len(pick)), width)
                 place = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
-                token = lines.token[lines.start[pick][at] + place]
-                node = lines.node[pick][at]
-                row, pair, own = _blocks((token & np.uint64(0xFFFF)).astype(np.int64), node, hot)
-                at, place, token = at[row], place[row], token[row]
-                meet = mix(token * np.uint64(3) + pair.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-                if only is not None:
-                    ok = _in_bitmap(meet, only.value)
-                    meet, row, at, place, own = meet[ok], row[ok], at[ok], place[ok], own[ok]
-                columns = [meet, node[row], bits[at].view(np.int64), doc[pick][at], *(x.astype(np.int32) for x in (lines.number[pick][at], size[at], place, own))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PREFIX.split(", ")])
+                word = lines.start[pick][at] + place
+                ok = lines.rank[word] > 0
+                at, place, word = at[ok], place[ok], word[ok]
+                node, check = lines.node[pick][at], lines.check[pick][at]
+                common = np.exp2((lines.rank[word] + 1) / 2) > SPLIT_ROWS
+                columns = [mix(lines.token[word] * np.uint64(3)).view(np.int64), node, check, bits[at].view(np.int64), doc[pick][at], *(x.astype(np.int32) for x in (lines.number[pick][at], size[at], place)), common]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return texts.mapInArrow(emit, PREFIX)
 
 
+def meetings(prefixes: DataFrame) -> tuple[DataFrame, int]:
+    """Prefix rows at the blocks where they meet, and how many there are."""
+    counted = prefixes.where("common").groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(counted.where(F.col("n") > SPLIT_ROWS).select("meet", F.ceil(F.col("n") / SPLIT_ROWS).alias("ways"), "n"), "split-words")
+    many, more = hot.agg(F.count(F.lit(1)), F.sum(F.col("n") * (F.col("ways") - 1))).first()
+    total = prefixes.count() + (more or 0)
+    plain = F.lit(1).alias("own")
+    if not many:
+        return prefixes.select(*prefixes.columns[:-1], plain), total
+    ways = hot.select("meet", "ways")
+    rows = prefixes.where("common").join(F.broadcast(ways) if many <= HOT_BOUND else ways, "meet", "left")
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.coalesce("ways", F.lit(1))))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)) - 1)))
+    block = F.xxhash64("meet", F.least("mine", "other"), F.greatest("mine", "other"))
+    own = (F.col("mine") * 2 + (F.col("mine") == F.col("other")).cast("int")).cast("int")
+    split = dealt.select(block.alias("at"), *prefixes.columns[1:-1], own.alias("own")).withColumnRenamed("at", "meet")
+    return prefixes.where("not common").select(*prefixes.columns[:-1], plain).unionByName(split), total
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
+PAIRS = "later long, later_check int, later_doc long, later_line int, earlier long, earlier_check int, earlier_doc long, earlier_line int, more boolean, meet long"
+
+
 def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (later, earlier) of one task's prefix rows; ``more`` marks a later line with candidates beyond the limit."""
     parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.concat_tables(parts)
-    columns = [np.asarray(table[x.split()[0]]) for x in PREFIX.split(", ")]
-    meet, node, _, doc, line = columns[:5]
-    order = np.lexsort((line, doc, node, meet))
-    order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0)]]  # a line's earliest row stands for it
+    columns = [np.asarray(table[x.split()[0]]) for x in MEETING.split(", ")]
+    meet, node, check, _, doc, line = columns[:6]
+    order = np.lexsort((line, doc, check, node, meet))
+    order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0) | (np.diff(check[order]) != 0)]]  # a line's earliest row stands for it
     order = order[np.lexsort((node[order], line[order], doc[order], meet[order]))]
-    meet, node, bits, doc, line, size, place, own = (x[order] for x in columns)
+    meet, node, check, bits, doc, line, size, place, own = (x[order] for x in columns)
     bits = bits.view(np.uint64)
     head = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
     group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(meet)]))
@@ -189,32 +276,32 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
     if only is not None:
         active = active[_in_bitmap(node[active], only)]
     made = np.zeros(len(meet), dtype=np.int64)
-    later, earlier, more, where = [], [], [], []
+    later, earlier, more = [], [], []
     step = 0
     while len(active):
         x = head[group[active]] + step
         small, large = np.minimum(size[active], size[x]), np.maximum(size[active], size[x])
         need = np.ceil((size[active] + size[x]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
-        left = 1 + np.minimum(size[active] - place[active], size[x] - place[x]) - 1
+        left = np.minimum(size[active] - place[active], size[x] - place[x])
         ok = (small >= THRESHOLD * large - 1e-9) & (left >= need) & (_popcount(bits[active] ^ bits[x]) <= size[active] + size[x] - 2 * need)
-        ok &= (node[active] != node[x]) & ((own[active] != own[x]) | (own[active] & 1 == 1))
+        ok &= ((node[active] != node[x]) | (check[active] != check[x])) & ((own[active] != own[x]) | (own[active] & 1 == 1))
         ok &= (doc[x] < doc[active]) | ((doc[x] == doc[active]) & (line[x] < line[active]))
-        hit, with_x = active[ok], x[ok]
-        over = made[hit] >= limit
-        later.append(node[hit])
-        earlier.append(node[with_x])
-        more.append(over)
-        where.append(meet[hit])
+        hit = active[ok]
+        later.append(hit)
+        earlier.append(x[ok])
+        more.append(made[hit] >= limit)
         made[hit] += 1
         step += 1
         active = active[(index[active] > step) & (made[active] <= limit)]
     if not later:
         return
-    later, earlier, more, where = np.concatenate(later), np.concatenate(earlier), np.concatenate(more), np.concatenate(where)
-    pair = np.lexsort((earlier, later))
-    fresh = np.r_[True, (np.diff(later[pair]) != 0) | (np.diff(earlier[pair]) != 0)] if len(pair) else np.zeros(0, bool)
+    later, earlier, more = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
+    pair = np.lexsort((node[earlier], node[later]))
+    fresh = np.r_[True, (np.diff(node[later][pair]) != 0) | (np.diff(node[earlier][pair]) != 0)] if len(pair) else np.zeros(0, bool)
     once = pair[fresh | more[pair]]
-    yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (later, earlier, more, where)], names=["later", "earlier", "more", "meet"])
+    a, b = later[once], earlier[once]
+    columns = [node[a], check[a], doc[a], line[a], node[b], check[b], doc[b], line[b], more[once], meet[a]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PAIRS.split(", ")])
 
 
 def _in_bitmap(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -232,106 +319,130 @@ def _bitmap(nodes: DataFrame, name: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def line_sets(texts: DataFrame, bitmap) -> DataFrame:
-    """``node`` and its sorted words, for lines that the bitmap passes."""
+def _place_key(doc, line):
+    """The document's id and the line number in one key, in numpy; ``_place`` is the same in SQL."""
+    return doc * 1_000_003 + line
+
+
+def wanted_lines(texts: DataFrame, bitmap) -> DataFrame:
+    """``node``, ``check`` and the words' text, for the lines whose place the bitmap passes; only those lines are hashed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, lines in line_batches(batch):
-                if not len(lines.node):
-                    continue
-                node, first = np.unique(lines.node, return_index=True)
-                ok = _in_bitmap(node, bitmap.value)
-                own = [lines.token[lines.start[i] : lines.start[i] + lines.size[i]].tobytes() for i in first[ok].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(own, pa.binary())], names=["node", "words"])
+            for lo in range(0, batch.num_rows, STEP):
+                part = batch.slice(lo, STEP)
+                pieces = [t.encode().split(b"\n") for t in part["text"].to_pylist()]
+                many = np.array([len(x) for x in pieces], dtype=np.int64)
+                text = np.repeat(np.arange(len(pieces)), many)
+                line = np.arange(len(text)) - (np.cumsum(many) - many)[text]
+                with np.errstate(over="ignore"):
+                    key = mix(_place_key(_order(part)[text], line).view(np.uint64)).view(np.int64)
+                ok = np.flatnonzero(_in_bitmap(key, bitmap.value))
+                for at in range(0, len(ok), 60_000):
+                    chosen = [pieces[i][j] for i, j in zip(text[ok[at : at + 60_000]].tolist(), line[ok[at : at + 60_000]].tolist(), strict=True)]
+                    lines = Lines(chosen)
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.node), pa.array(lines.check), pa.array([chosen[i] for i in lines.text.tolist()], pa.binary())], names=["node", "check", "words"])
+
+    return texts.mapInArrow(emit, "node long, check int, words binary").groupBy("node", "check").agg(F.first("words").alias("words"))
+
+
+def _places(pairs: DataFrame) -> np.ndarray:
+    """Both lines of every pair as a bitmap of their places, keyed as in ``wanted_lines``."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                found = [mix(_place_key(np.asarray(batch[f"{side}_doc"]), np.asarray(batch[f"{side}_line"]).astype(np.int64)).view(np.uint64)) for side in ("later", "earlier")]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct(np.concatenate(found)).view(np.int64))], names=["place"])
 
-    return texts.mapInArrow(emit, "node long, words binary").groupBy("node").agg(F.first("words").alias("words"))
+    return _bitmap(pairs.select("later_doc", "later_line", "earlier_doc", "earlier_line").mapInArrow(key, "place long"), "place")
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = set(a.split()), set(b.split())
+            both = len(x & y)
             good.append(both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch["later"], pa.array(good, pa.bool_())], names=["later", "good"])
-
-
-def prefix_histogram(texts: DataFrame, rarity) -> dict[int, int]:
-    """Prefix rows by the last 16 bits of their word: at most 65,536 numbers."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << 16, dtype=np.int64)
-        for batch in batches:
-            for _, lines in line_batches(batch, rarity.value):
-                width = np.where(lines.size > 3, lines.size - np.ceil(THRESHOLD * lines.size - 1e-9).astype(np.int64) + 1, 0)
-                at = np.repeat(lines.start - (np.cumsum(width) - width), width) + np.arange(width.sum())
-                count += np.bincount((lines.token[at] & np.uint64(0xFFFF)).astype(np.int64), minlength=len(count))
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["bucket", "n"])
-
-    got = texts.mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(got["bucket"].to_pylist(), got["n"].to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([batch["later"], batch["later_check"], pa.array(good, pa.bool_())], names=["later", "later_check", "good"])
 
 
 def matched_nodes(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """``node`` of every distinct line of which a different, earlier line is similar."""
+    """``node``, ``check`` of every distinct line of which a different, earlier line is similar."""
     spark = texts.sparkSession
-    ranks = spark.sparkContext.broadcast(rarity)
-    counts = prefix_histogram(texts, ranks)
-    total = sum(counts.values())
-    hot = {b: -(-n // TASK_ROWS) for b, n in counts.items() if n > max(TASK_ROWS, total / HOT)}
+    prefixes = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity)), "line-prefixes")
+    rows, total = meetings(prefixes)
     tasks = parts_for(total, TASK_ROWS)
-    rows = prefix_rows(texts, ranks, hot).repartition(tasks, "meet")
-    pairs_schema = "later long, earlier long, more boolean, meet long"
 
     def settle(pairs: DataFrame) -> DataFrame:
-        sets = materialise(line_sets(texts, spark.sparkContext.broadcast(_bitmap(pairs.select("later").unionByName(pairs.select(F.col("earlier").alias("later"))), "later"))), "line-sets")
-        a, b = sets.select(F.col("node").alias("later"), F.col("words").alias("a")), sets.select(F.col("node").alias("earlier"), F.col("words").alias("b"))
-        return pairs.select("later", "earlier").distinct().join(a, "later").join(b, "earlier").mapInArrow(verify, "later long, good boolean").where("good").select(F.col("later").alias("node")).distinct()
-
-    pairs = materialise(rows.mapInArrow(lambda it: propose(it, FIRST, None), pairs_schema), "line-pairs")
+        lines = materialise(wanted_lines(texts, spark.sparkContext.broadcast(_places(pairs))), "line-words")
+        a = lines.select(F.col("node").alias("later"), F.col("check").alias("later_check"), F.col("words").alias("a"))
+        b = lines.select(F.col("node").alias("earlier"), F.col("check").alias("earlier_check"), F.col("words").alias("b"))
+        both = pairs.select("later", "later_check", "earlier", "earlier_check").distinct().join(b, ["earlier", "earlier_check"]).join(a, ["later", "later_check"])
+        right = both.mapInArrow(verify, "later long, later_check int, good boolean").where("good")
+        return right.select(F.col("later").alias("node"), F.col("later_check").alias("check")).distinct()
+
+    pairs = materialise(rows.repartition(tasks, "meet").mapInArrow(lambda it: propose(it, FIRST, None), PAIRS), "line-pairs")
     good = materialise(settle(pairs), "line-matches")
-    open_lines = materialise(pairs.where("more").select(F.col("later").alias("node"), "meet").distinct().join(good, "node", "left_anti"), "open-lines")
+    unsettled = pairs.where("more").select(F.col("later").alias("node"), F.col("later_check").alias("check"), "meet").distinct()
+    open_lines = materialise(unsettled.join(good, ["node", "check"], "left_anti"), "open-lines")
     if open_lines.isEmpty():
         return good
     chosen, meets = (spark.sparkContext.broadcast(_bitmap(open_lines, c)) for c in ("node", "meet"))
-    again = prefix_rows(texts, ranks, hot, meets).repartition(tasks, "meet")
-    second = materialise(again.mapInArrow(lambda it: propose(it, LAST, chosen.value), pairs_schema), "line-pairs")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(np.asarray(batch["meet"]), meets.value)))
+
+    again = rows.mapInArrow(wanted, MEETING).repartition(tasks, "meet")
+    second = materialise(again.mapInArrow(lambda it: propose(it, LAST, chosen.value), PAIRS), "line-pairs")
     return good.unionByName(settle(second)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``mark`` (hash of the text) and the numbers of the lines to remove; documents without any are absent."""
+    """``doc_id``, ``mark`` (hash of the text) and the sorted numbers of the lines to remove; documents without any are absent."""
     texts = documents(docs).withColumn("mark", F.xxhash64("text"))
-    table = materialise(texts.mapInArrow(facts, "node long, doc_id long, mark long, line int"), "lines")
-    matched = matched_nodes(texts.select("doc_id", "text"), rarity_ranks(table)).select("node", F.lit(True).alias("matched"))
+    table = materialise(texts.mapInArrow(facts, FACTS), "lines")
+    matched = matched_nodes(texts.select("doc_id", "text"), rarity_ranks(table)).withColumn("matched", F.lit(True))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line").alias("line"))
-    lines = table.where("line >= 0")
-    firsts = lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(matched, "node", "left").where("n > 1 or matched")
-    gone = lines.join(firsts, "node").where(F.col("matched") | (place > F.col("first")))
-    return materialise(gone.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("gone")), "gone-lines")
+    lines = table.where("line >= 0").select("leaf", "node", "check", "doc_id", "mark", "line", "n")
+    leaders = lines.where("n > 0")
+    firsts = leaders.groupBy("node", "check").agg(F.min(place).alias("first"), F.sum("n").alias("n")).join(matched, ["node", "check"], "left").where("n > 1 or matched")
+    verdict = leaders.select("leaf", "node", "check").join(firsts.drop("n"), ["node", "check"])
+    gone = lines.join(verdict, ["leaf", "node", "check"]).where(F.col("matched") | (place > F.col("first")))
+    return materialise(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone-lines")
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
-    """All columns; ``text`` without the removed lines, and ``_lines``, ``_gone`` with their numbers."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "gone")
-    text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_mark"]), "left")
-    pieces: Column = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return joined.withColumn("_lines", F.when(text == "", 0).otherwise(F.size(pieces)).cast("long")).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("_id", "_mark", "gone")
+    """``row`` (the document as it came), ``text`` without the removed lines, and ``lines``, ``gone``: how many it had and lost."""
+    removed = removed_lines(docs).select(F.col("doc_id").alias("id"), F.col("mark").alias("its"), "gone")
+    # a mask of a byte a line up to the last that goes: one pass over the lines, however many go
+    gaps = F.transform("gone", lambda x, i: F.concat(F.repeat(F.lit("0"), F.when(i == 0, x).otherwise(x - F.get("gone", i - 1) - 1)), F.lit("1")))
+    masks = removed.select("id", "its", F.size("gone").alias("n"), F.array_join(gaps, "").cast("binary").alias("mask"))
+    texts = boxed(docs).withColumn("mark", F.xxhash64("text"))
+    joined = texts.join(masks, texts["doc_id"].eqNullSafe(masks["id"]) & (texts["mark"] == masks["its"]), "left")
+    pieces = F.split("text", "\n", -1)
+    left = F.array_join(F.filter(pieces, lambda _, i: F.substring("mask", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    return joined.select(
+        "row",
+        "doc_id",
+        F.when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(pieces)).cast("long").alias("lines"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("gone"),
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = without_lines(docs.select("doc_id", "text"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select("doc_id", F.col("lines").alias("n_lines"), F.col("gone").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines; ``n_chars`` follows the text, and documents of which nothing but blanks is left go."""
-    rows = without_lines(docs).where((F.col("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = without_lines(docs).where((F.col("gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = F.col("gone") > 0
+    new = {"text": F.when(cut, F.col("text")).otherwise(field("text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return rows.select(*[new.get(c, field(c)).alias(c) for c in docs.columns])
