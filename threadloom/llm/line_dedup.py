@@ -31,8 +31,8 @@ from threadloom.llm.common import boxed, documents, field, materialise, parts_fo
 from threadloom.llm.hashing import BASE, distinct, line_words, mix
 
 THRESHOLD = 0.8
-#: log2 of the rarity table's size: 16 MB on the driver and in each worker, whatever the corpus.
-RARITY_BITS = 24
+#: log2 of the rarity table's size: 4 MB on the driver and in each worker, whatever the corpus.
+RARITY_BITS = 22
 BLOCK_BITS = 16
 #: Partial word counts merged at once.
 MERGE_BITS = 6
@@ -41,6 +41,8 @@ BITMAP_BITS = 27
 FIRST = 2
 #: Prefix rows that meet in one task, about.
 TASK_ROWS = 400_000
+#: Prefix rows that a task gathers before it deals them to buckets.
+DEAL_ROWS = 500_000
 #: Prefix rows of one word that meet in one block.
 SPLIT_ROWS = 50_000
 #: Prefix words that are joined by broadcast when they are to be split; more of them join by shuffle.
@@ -108,12 +110,17 @@ def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Ite
         lo += take
 
 
+def prefix_widths(size: np.ndarray) -> np.ndarray:
+    """Prefix words of lines of some sizes; up to three words, only equal sets match."""
+    return np.where(size > 3, size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1, 0)
+
+
 def _order(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch["doc_id"].fill_null(LAST))
 
 
 #: A row a line: ``n`` is the number of the leaf's lines with its set on the earliest of them, else 0. A row with line -1 has word counts:
-#: ``leaf`` is the partition, ``node`` the block of the rarity table.
+#: ``leaf`` is the partition, ``node`` the block of the rarity table; one with line -2 has in ``mark`` the number of prefix words to come.
 FACTS = "leaf long, node long, check int, doc_id long, mark long, line int, n int, places binary, counts binary"
 
 
@@ -125,7 +132,7 @@ def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in FACTS.split(", ")])
     held: list[tuple[np.ndarray, ...]] = []
-    leaf, rows = part << 32, 0
+    leaf, rows, prefixes = part << 32, 0, 0
 
     def flush() -> pa.RecordBatch:
         node, check, doc, null, mark, line = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -141,6 +148,7 @@ def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, lines in line_batches(batch):
             doc, null = _order(own), np.asarray(own["doc_id"].is_null())
             once = lines.firsts(doc[lines.text])
+            prefixes += int(prefix_widths(lines.size[once]).sum())
             word = np.repeat(np.arange(len(once)), lines.size[once])
             at = lines.start[once][word] + np.arange(len(word)) - (np.cumsum(lines.size[once]) - lines.size[once])[word]
             np.add.at(count, (lines.token[at] >> np.uint64(_TOKEN_BITS - RARITY_BITS)).astype(np.int64), np.uint32(1))
@@ -151,6 +159,7 @@ def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, leaf, rows = [], leaf + 1, 0
     if rows:
         yield flush()
+    yield pa.RecordBatch.from_pylist([{"leaf": part, "line": -2, "mark": prefixes}], schema=schema)
     for block, counts in enumerate(count.reshape(-1, 1 << BLOCK_BITS)):
         used = np.flatnonzero(counts)
         if len(used):
@@ -197,78 +206,107 @@ def rarity_ranks(table: DataFrame) -> np.ndarray:
     return rank.ravel()
 
 
-#: ``common`` says that the word may have more than SPLIT_ROWS rows.
-PREFIX = "meet long, node long, check int, bits long, doc long, line int, size int, place int, common boolean"
+#: A prefix row: the hash of the word where lines meet, the line's set, its parity bitmap and place, and the word's place in the prefix.
 #: ``own`` tells the blocks of a split word's rows apart; its lowest bit says that a block meets itself.
-MEETING = "meet long, node long, check int, bits long, doc long, line int, size int, place int, own int"
+RECORD = np.dtype([("meet", "<i8"), ("node", "<i8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("own", "<i4")])
+MEETING = "meet long, node long, bits long, doc long, line int, size int, place int, own int"
+#: Bucket of the words that may have more than SPLIT_ROWS rows.
+COMMON = -1
+
+
+def _dealt(rows: np.ndarray, common: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Prefix rows as one run of bytes a bucket: the engine then moves runs, not rows."""
+    bucket = np.where(common, COMMON, (rows["meet"].view(np.uint64) % np.uint64(buckets)).astype(np.int64))
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    offsets = (np.r_[head, len(bucket)] * RECORD.itemsize).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(rows[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), runs], names=["bucket", "rows"])
+
+
+def _records(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["rows"].to_pylist()), dtype=RECORD)
 
 
-def prefix_rows(texts: DataFrame, rarity) -> DataFrame:
-    """A row for each prefix word, of those that occur twice, of each distinct line of a step, with what the filters need."""
-    names = [x.split()[0] for x in PREFIX.split(", ")]
+def prefix_rows(texts: DataFrame, rarity, buckets: int) -> DataFrame:
+    """A row for each prefix word, of those that occur twice, of each distinct line of a step, dealt to buckets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        usual: list[np.ndarray] = []
         for batch in batches:
             for part, lines in line_batches(batch, rarity.value):
                 doc = _order(part)[lines.text]
                 pick = lines.firsts(doc)
-                pick = pick[lines.size[pick] > 3]
-                if not len(pick):
-                    continue
-                size, bits = lines.size[pick], lines.bits()[pick]
-                width = size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
+                size, bits = lines.size[pick], lines.bits()[pick] if len(pick) else np.zeros(0, np.uint64)
+                width = prefix_widths(size)
                 at = np.repeat(np.arange(len(pick)), width)
                 place = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
                 word = lines.start[pick][at] + place
                 ok = lines.rank[word] > 0
                 at, place, word = at[ok], place[ok], word[ok]
-                node, check = lines.node[pick][at], lines.check[pick][at]
-                common = np.exp2((lines.rank[word] + 1) / 2) > SPLIT_ROWS
-                columns = [mix(lines.token[word] * np.uint64(3)).view(np.int64), node, check, bits[at].view(np.int64), doc[pick][at], *(x.astype(np.int32) for x in (lines.number[pick][at], size[at], place)), common]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                rows = np.zeros(len(at), dtype=RECORD)
+                rows["meet"] = mix(lines.token[word] * np.uint64(3)).view(np.int64)
+                rows["node"], rows["bits"], rows["doc"], rows["line"] = lines.node[pick][at], bits[at], doc[pick][at], lines.number[pick][at]
+                rows["size"], rows["place"], rows["own"] = size[at], place, 1
+                held.append(rows)
+                usual.append(np.exp2((lines.rank[word] + 1) / 2) > SPLIT_ROWS)
+                if sum(map(len, held)) >= DEAL_ROWS:
+                    yield _dealt(np.concatenate(held), np.concatenate(usual), buckets)
+                    held, usual = [], []
+        if sum(map(len, held)):
+            yield _dealt(np.concatenate(held), np.concatenate(usual), buckets)
+
+    return texts.mapInArrow(emit, "bucket int, rows binary")
+
+
+def unpacked(runs: DataFrame, keep=None) -> DataFrame:
+    """Prefix rows one by one; ``keep`` is a bitmap of meetings wanted."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _records(batch)
+            if keep is not None:
+                rows = rows[_in_bitmap(np.ascontiguousarray(rows["meet"]), keep.value)]
+            for lo in range(0, len(rows), 50_000):
+                own = rows[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])).view(pa.int64()) if c == "bits" else pa.array(np.ascontiguousarray(own[c])) for c in RECORD.names], names=list(RECORD.names))
 
-    return texts.mapInArrow(emit, PREFIX)
+    return runs.mapInArrow(emit, MEETING)
 
 
-def meetings(prefixes: DataFrame) -> tuple[DataFrame, int]:
-    """Prefix rows at the blocks where they meet, and how many there are."""
-    counted = prefixes.where("common").groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialise(counted.where(F.col("n") > SPLIT_ROWS).select("meet", F.ceil(F.col("n") / SPLIT_ROWS).alias("ways"), "n"), "split-words")
-    many, more = hot.agg(F.count(F.lit(1)), F.sum(F.col("n") * (F.col("ways") - 1))).first()
-    total = prefixes.count() + (more or 0)
-    plain = F.lit(1).alias("own")
+def common_meetings(rows: DataFrame) -> DataFrame:
+    """Rows of common words at the blocks where they meet: a word with more than SPLIT_ROWS rows is cut into blocks of about that many."""
+    counted = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT_ROWS)
+    hot = materialise(counted.select("meet", F.ceil(F.col("n") / SPLIT_ROWS).alias("ways")), "split-words")
+    many = hot.count()
     if not many:
-        return prefixes.select(*prefixes.columns[:-1], plain), total
-    ways = hot.select("meet", "ways")
-    rows = prefixes.where("common").join(F.broadcast(ways) if many <= HOT_BOUND else ways, "meet", "left")
-    mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.coalesce("ways", F.lit(1))))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)) - 1)))
+        return rows
+    joined = rows.join(F.broadcast(hot) if many <= HOT_BOUND else hot, "meet", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    mine = joined.withColumn("mine", F.pmod(F.xxhash64("node"), "ways")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
     block = F.xxhash64("meet", F.least("mine", "other"), F.greatest("mine", "other"))
     own = (F.col("mine") * 2 + (F.col("mine") == F.col("other")).cast("int")).cast("int")
-    split = dealt.select(block.alias("at"), *prefixes.columns[1:-1], own.alias("own")).withColumnRenamed("at", "meet")
-    return prefixes.where("not common").select(*prefixes.columns[:-1], plain).unionByName(split), total
+    return mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in rows.columns if c not in ("meet", "own")], own.alias("own"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-PAIRS = "later long, later_check int, later_doc long, later_line int, earlier long, earlier_check int, earlier_doc long, earlier_line int, more boolean, meet long"
+PAIRS = "later long, later_doc long, later_line int, earlier long, earlier_doc long, earlier_line int, more boolean, meet long"
 
 
-def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def propose(rows: np.ndarray, limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (later, earlier) of one task's prefix rows; ``more`` marks a later line with candidates beyond the limit."""
-    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not parts:
+    if not len(rows):
         return
-    table = pa.concat_tables(parts)
-    columns = [np.asarray(table[x.split()[0]]) for x in MEETING.split(", ")]
-    meet, node, check, _, doc, line = columns[:6]
-    order = np.lexsort((line, doc, check, node, meet))
-    order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0) | (np.diff(check[order]) != 0)]]  # a line's earliest row stands for it
+    columns = [np.ascontiguousarray(rows[c]) for c in RECORD.names]
+    meet, node, _, doc, line = columns[:5]
+    order = np.lexsort((line, doc, node, meet))
+    order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0)]]  # a line's earliest row stands for it
     order = order[np.lexsort((node[order], line[order], doc[order], meet[order]))]
-    meet, node, check, bits, doc, line, size, place, own = (x[order] for x in columns)
-    bits = bits.view(np.uint64)
+    meet, node, bits, doc, line, size, place, own = (x[order] for x in columns)
     head = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
     group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(meet)]))
     index = np.arange(len(meet)) - head[group]
@@ -284,7 +322,7 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
         need = np.ceil((size[active] + size[x]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
         left = np.minimum(size[active] - place[active], size[x] - place[x])
         ok = (small >= THRESHOLD * large - 1e-9) & (left >= need) & (_popcount(bits[active] ^ bits[x]) <= size[active] + size[x] - 2 * need)
-        ok &= ((node[active] != node[x]) | (check[active] != check[x])) & ((own[active] != own[x]) | (own[active] & 1 == 1))
+        ok &= (node[active] != node[x]) & ((own[active] != own[x]) | (own[active] & 1 == 1))
         ok &= (doc[x] < doc[active]) | ((doc[x] == doc[active]) & (line[x] < line[active]))
         hit = active[ok]
         later.append(hit)
@@ -300,10 +338,26 @@ def propose(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | No
     fresh = np.r_[True, (np.diff(node[later][pair]) != 0) | (np.diff(node[earlier][pair]) != 0)] if len(pair) else np.zeros(0, bool)
     once = pair[fresh | more[pair]]
     a, b = later[once], earlier[once]
-    columns = [node[a], check[a], doc[a], line[a], node[b], check[b], doc[b], line[b], more[once], meet[a]]
+    columns = [node[a], doc[a], line[a], node[b], doc[b], line[b], more[once], meet[a]]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PAIRS.split(", ")])
 
 
+def propose_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """``propose`` on a task's runs; a task may hold several buckets, and takes all of them at once."""
+    held = [_records(b) for b in batches]
+    yield from propose(np.concatenate(held) if held else np.zeros(0, RECORD), limit)
+
+
+def propose_rows(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if parts:
+        table = pa.concat_tables(parts)
+        rows = np.zeros(table.num_rows, dtype=RECORD)
+        for c in RECORD.names:
+            rows[c] = np.asarray(table[c]).view(rows.dtype[c])
+        yield from propose(rows, limit, only)
+
+
 def _in_bitmap(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     at = (nodes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -365,38 +419,34 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = set(a.split()), set(b.split())
             both = len(x & y)
             good.append(both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch["later"], batch["later_check"], pa.array(good, pa.bool_())], names=["later", "later_check", "good"])
+        yield pa.RecordBatch.from_arrays([batch["later"], batch["check"], pa.array(good, pa.bool_())], names=["node", "check", "good"])
 
 
-def matched_nodes(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """``node``, ``check`` of every distinct line of which a different, earlier line is similar."""
+def matched_nodes(texts: DataFrame, rarity: np.ndarray, total: int) -> DataFrame:
+    """``node``, ``check`` of every distinct line of which a different, earlier line is similar; ``total`` is the number of prefix rows."""
     spark = texts.sparkSession
-    prefixes = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity)), "line-prefixes")
-    rows, total = meetings(prefixes)
     tasks = parts_for(total, TASK_ROWS)
+    runs = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity), 8 * tasks), "line-prefixes")  # several a task, for even tasks
+    usual, common = runs.where(F.col("bucket") != COMMON), unpacked(runs.where(F.col("bucket") == COMMON))
 
     def settle(pairs: DataFrame) -> DataFrame:
         lines = materialise(wanted_lines(texts, spark.sparkContext.broadcast(_places(pairs))), "line-words")
-        a = lines.select(F.col("node").alias("later"), F.col("check").alias("later_check"), F.col("words").alias("a"))
-        b = lines.select(F.col("node").alias("earlier"), F.col("check").alias("earlier_check"), F.col("words").alias("b"))
-        both = pairs.select("later", "later_check", "earlier", "earlier_check").distinct().join(b, ["earlier", "earlier_check"]).join(a, ["later", "later_check"])
-        right = both.mapInArrow(verify, "later long, later_check int, good boolean").where("good")
-        return right.select(F.col("later").alias("node"), F.col("later_check").alias("check")).distinct()
-
-    pairs = materialise(rows.repartition(tasks, "meet").mapInArrow(lambda it: propose(it, FIRST, None), PAIRS), "line-pairs")
+        a = lines.select(F.col("node").alias("later"), "check", F.col("words").alias("a"))
+        b = lines.select(F.col("node").alias("earlier"), F.col("words").alias("b"))
+        both = pairs.select("later", "earlier").distinct().join(b, "earlier").join(a, "later")
+        return both.mapInArrow(verify, "node long, check int, good boolean").where("good").select("node", "check").distinct()
+
+    met = common_meetings(common)
+    first = usual.repartition(tasks, "bucket").mapInArrow(lambda it: propose_runs(it, FIRST), PAIRS)
+    pairs = materialise(first.unionByName(met.repartition("meet").mapInArrow(lambda it: propose_rows(it, FIRST), PAIRS)), "line-pairs")
     good = materialise(settle(pairs), "line-matches")
-    unsettled = pairs.where("more").select(F.col("later").alias("node"), F.col("later_check").alias("check"), "meet").distinct()
-    open_lines = materialise(unsettled.join(good, ["node", "check"], "left_anti"), "open-lines")
+    unsettled = pairs.where("more").select(F.col("later").alias("node"), "meet").distinct()
+    open_lines = materialise(unsettled.join(good.select("node").distinct(), "node", "left_anti"), "open-lines")
     if open_lines.isEmpty():
         return good
     chosen, meets = (spark.sparkContext.broadcast(_bitmap(open_lines, c)) for c in ("node", "meet"))
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(np.asarray(batch["meet"]), meets.value)))
-
-    again = rows.mapInArrow(wanted, MEETING).repartition(tasks, "meet")
-    second = materialise(again.mapInArrow(lambda it: propose(it, LAST, chosen.value), PAIRS), "line-pairs")
+    again = unpacked(usual, meets).unionByName(met).repartition(tasks, "meet")
+    second = materialise(again.mapInArrow(lambda it: propose_rows(it, LAST, chosen.value), PAIRS), "line-pairs")
     return good.unionByName(settle(second)).distinct()
 
 
@@ -404,7 +454,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``mark`` (hash of the text) and the sorted numbers of the lines to remove; documents without any are absent."""
     texts = documents(docs).withColumn("mark", F.xxhash64("text"))
     table = materialise(texts.mapInArrow(facts, FACTS), "lines")
-    matched = matched_nodes(texts.select("doc_id", "text"), rarity_ranks(table)).withColumn("matched", F.lit(True))
+    total = table.where("line = -2").agg(F.sum("mark")).first()[0] or 0
+    matched = matched_nodes(texts.select("doc_id", "text"), rarity_ranks(table), total).withColumn("matched", F.lit(True))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line").alias("line"))
     lines = table.where("line >= 0").select("leaf", "node", "check", "doc_id", "mark", "line", "n")
     leaders = lines.where("n > 0")
