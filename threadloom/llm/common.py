@@ -21,9 +21,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back: lineage is cut there, and the shuffle files go."""
-    return saved(df, label)
+    return saved(df, label, codec)
 
 
 def documents(docs: DataFrame) -> DataFrame:

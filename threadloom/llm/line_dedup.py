@@ -37,12 +37,14 @@ BLOCK_BITS = 16
 #: Partial word counts merged at once.
 MERGE_BITS = 6
 BITMAP_BITS = 27
+#: Bits of the parity bitmap that candidate pairs are held to before their words meet.
+SKETCH = 512
 #: Candidates a line proposes per prefix word in the first round.
 FIRST = 2
 #: Prefix rows that meet in one task, about.
 TASK_ROWS = 400_000
 #: Prefix rows that a task gathers before it deals them to buckets.
-DEAL_ROWS = 500_000
+DEAL_ROWS = 250_000
 #: Prefix rows of one word that meet in one block.
 SPLIT_ROWS = 50_000
 #: Prefix words that are joined by broadcast when they are to be split; more of them join by shuffle.
@@ -50,7 +52,8 @@ HOT_BOUND = 100_000
 #: Lines of a leaf, about.
 LEAF_LINES = 250_000
 LAST = (1 << 63) - 1
-STEP = 512
+#: Texts, and bytes of text, that are hashed at once; one longer text is taken alone.
+STEP, STEP_BYTES = 512, 1 << 20
 _SALT = 0xD1B54A32D192ED03
 _TOKEN_BITS = 42
 _TOKEN_MASK = np.uint64((1 << _TOKEN_BITS) - 1)
@@ -85,6 +88,19 @@ class Lines:
         """Parity bitmaps: bit b is the parity of the line's words with hash b."""
         return np.bitwise_xor.reduceat(np.uint64(1) << (self.spread & np.uint64(63)), self.start)
 
+    def sketches(self) -> list[bytes]:
+        """Parity bitmaps of SKETCH bits."""
+        bit = ((self.spread >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64)
+        out = []
+        for lo in range(0, len(self.start), 4096):
+            size = self.size[lo : lo + 4096]
+            row = np.repeat(np.arange(len(size)), size)
+            own = bit[self.start[lo] : self.start[lo] + int(size.sum())]
+            odd = (np.bincount(row * SKETCH + own, minlength=len(size) * SKETCH) & 1).astype(np.uint8)
+            packed = np.packbits(odd.reshape(-1, SKETCH), axis=1)
+            out += [r.tobytes() for r in packed]
+        return out
+
     def firsts(self, doc: np.ndarray) -> np.ndarray:
         """Indices of the lines of which none earlier, by ``doc`` and number, has the same set."""
         order = np.lexsort((self.number, doc, self.check, self.node))
@@ -98,7 +114,7 @@ def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Ite
         part = batch.slice(lo, STEP)
         texts = [t.encode() for t in part["text"].to_pylist()]
         total = np.cumsum([t.count(b"\n") + 1 for t in texts])
-        take = max(1, int(np.searchsorted(total, 60_000, side="right")))
+        take = max(1, min(int(np.searchsorted(total, 60_000, side="right")), int(np.searchsorted(np.cumsum([len(t) for t in texts]), STEP_BYTES, side="right"))))
         if take == 1 and total[0] > 60_000:
             pieces = texts[0].split(b"\n")
             for at in range(0, len(pieces), 60_000):
@@ -206,9 +222,10 @@ def rarity_ranks(table: DataFrame) -> np.ndarray:
     return rank.ravel()
 
 
-#: A prefix row: the hash of the word where lines meet, the line's set, its parity bitmap and place, and the word's place in the prefix.
-#: ``own`` tells the blocks of a split word's rows apart; its lowest bit says that a block meets itself.
-RECORD = np.dtype([("meet", "<i8"), ("node", "<i8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("own", "<i4")])
+#: A prefix row: the word where lines meet (with its bucket), the line's set, its parity bitmap and place, its words and the word's place
+#: among them (at most 65,535, which only weakens a filter).
+RECORD = np.dtype([("meet", "<u4"), ("node", "<i8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<u2")])
+#: The same, unpacked: ``own`` tells the blocks of a split word's rows apart; its lowest bit says that a block meets itself.
 MEETING = "meet long, node long, bits long, doc long, line int, size int, place int, own int"
 #: Bucket of the words that may have more than SPLIT_ROWS rows.
 COMMON = -1
@@ -216,7 +233,7 @@ COMMON = -1
 
 def _dealt(rows: np.ndarray, common: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Prefix rows as one run of bytes a bucket: the engine then moves runs, not rows."""
-    bucket = np.where(common, COMMON, (rows["meet"].view(np.uint64) % np.uint64(buckets)).astype(np.int64))
+    bucket = np.where(common, COMMON, (mix(rows["meet"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -225,8 +242,14 @@ def _dealt(rows: np.ndarray, common: np.ndarray, buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), runs], names=["bucket", "rows"])
 
 
-def _records(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["rows"].to_pylist()), dtype=RECORD)
+def _records(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of MEETING from runs; words are hashed to 32 bits in their bucket, and a chance meeting only costs a comparison."""
+    runs = batch["rows"].to_pylist()
+    rows = np.frombuffer(b"".join(runs), dtype=RECORD)
+    bucket = np.repeat(np.asarray(batch["bucket"]).astype(np.int64), [len(r) // RECORD.itemsize for r in runs])
+    meet = mix((bucket.view(np.uint64) << np.uint64(32)) | rows["meet"]).view(np.int64)
+    wide = {c: np.ascontiguousarray(rows[c]) for c in ("node", "doc", "line", "size")}
+    return {"meet": meet, "node": wide["node"], "bits": np.ascontiguousarray(rows["bits"]).view(np.int64), "doc": wide["doc"], "line": wide["line"], "size": wide["size"], "place": rows["place"].astype(np.int32), "own": np.ones(len(rows), np.int32)}
 
 
 def prefix_rows(texts: DataFrame, rarity, buckets: int) -> DataFrame:
@@ -247,9 +270,9 @@ def prefix_rows(texts: DataFrame, rarity, buckets: int) -> DataFrame:
                 ok = lines.rank[word] > 0
                 at, place, word = at[ok], place[ok], word[ok]
                 rows = np.zeros(len(at), dtype=RECORD)
-                rows["meet"] = mix(lines.token[word] * np.uint64(3)).view(np.int64)
+                rows["meet"] = mix(lines.token[word] * np.uint64(3)) >> np.uint64(32)
                 rows["node"], rows["bits"], rows["doc"], rows["line"] = lines.node[pick][at], bits[at], doc[pick][at], lines.number[pick][at]
-                rows["size"], rows["place"], rows["own"] = size[at], place, 1
+                rows["size"], rows["place"] = size[at], np.minimum(place, 65535)
                 held.append(rows)
                 usual.append(np.exp2((lines.rank[word] + 1) / 2) > SPLIT_ROWS)
                 if sum(map(len, held)) >= DEAL_ROWS:
@@ -267,11 +290,9 @@ def unpacked(runs: DataFrame, keep=None) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _records(batch)
-            if keep is not None:
-                rows = rows[_in_bitmap(np.ascontiguousarray(rows["meet"]), keep.value)]
-            for lo in range(0, len(rows), 50_000):
-                own = rows[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])).view(pa.int64()) if c == "bits" else pa.array(np.ascontiguousarray(own[c])) for c in RECORD.names], names=list(RECORD.names))
+            ok = np.arange(len(rows["meet"])) if keep is None else np.flatnonzero(_in_bitmap(rows["meet"], keep.value))
+            for lo in range(0, len(ok), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok[lo : lo + 50_000]]) for c in rows.values()], names=list(rows))
 
     return runs.mapInArrow(emit, MEETING)
 
@@ -290,47 +311,49 @@ def common_meetings(rows: DataFrame) -> DataFrame:
     return mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in rows.columns if c not in ("meet", "own")], own.alias("own"))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
-
-
 PAIRS = "later long, later_doc long, later_line int, earlier long, earlier_doc long, earlier_line int, more boolean, meet long"
 
 
-def propose(rows: np.ndarray, limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def propose(rows: dict[str, np.ndarray], limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (later, earlier) of one task's prefix rows; ``more`` marks a later line with candidates beyond the limit."""
-    if not len(rows):
+    meet, node, _, doc, line = list(rows.values())[:5]
+    if not len(meet):
         return
-    columns = [np.ascontiguousarray(rows[c]) for c in RECORD.names]
-    meet, node, _, doc, line = columns[:5]
     order = np.lexsort((line, doc, node, meet))
     order = order[np.r_[True, (np.diff(meet[order]) != 0) | (np.diff(node[order]) != 0)]]  # a line's earliest row stands for it
     order = order[np.lexsort((node[order], line[order], doc[order], meet[order]))]
-    meet, node, bits, doc, line, size, place, own = (x[order] for x in columns)
+    meet, node, bits, doc, line, size, place, own = (x[order] for x in rows.values())
+    bits = bits.view(np.uint64)
     head = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
-    group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(meet)]))
-    index = np.arange(len(meet)) - head[group]
-    active = np.flatnonzero(index > 0)
+    start = np.repeat(head, np.diff(np.r_[head, len(meet)]))
+    active = np.flatnonzero(np.arange(len(meet)) > start)
     if only is not None:
         active = active[_in_bitmap(node[active], only)]
+    at, n, left = start[active], size[active], (size - place)[active]
     made = np.zeros(len(meet), dtype=np.int64)
     later, earlier, more = [], [], []
-    step = 0
     while len(active):
-        x = head[group[active]] + step
-        small, large = np.minimum(size[active], size[x]), np.maximum(size[active], size[x])
-        need = np.ceil((size[active] + size[x]) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
-        left = np.minimum(size[active] - place[active], size[x] - place[x])
-        ok = (small >= THRESHOLD * large - 1e-9) & (left >= need) & (_popcount(bits[active] ^ bits[x]) <= size[active] + size[x] - 2 * need)
-        ok &= (node[active] != node[x]) & ((own[active] != own[x]) | (own[active] & 1 == 1))
-        ok &= (doc[x] < doc[active]) | ((doc[x] == doc[active]) & (line[x] < line[active]))
-        hit = active[ok]
+        # ever fewer pairs go through ever dearer filters: length, places, parity, order
+        m = size[at]
+        some = np.flatnonzero((5 * n >= 4 * m) & (5 * m >= 4 * n))
+        x, m = at[some], m[some]
+        both = n[some] + m
+        need = np.ceil(both * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
+        ok = np.flatnonzero(np.minimum(left[some], m - place[x]) >= need)
+        some, x, spare = some[ok], x[ok], (both - 2 * need)[ok]
+        y = active[some]
+        ok = np.bitwise_count(bits[y] ^ bits[x]) <= spare
+        ok &= (node[y] != node[x]) & ((own[y] != own[x]) | (own[y] & 1 == 1))
+        ok &= (doc[x] < doc[y]) | ((doc[x] == doc[y]) & (line[x] < line[y]))
+        hit = y[ok]
         later.append(hit)
         earlier.append(x[ok])
         more.append(made[hit] >= limit)
         made[hit] += 1
-        step += 1
-        active = active[(index[active] > step) & (made[active] <= limit)]
+        at += 1
+        on = (at < active) & (made[active] <= limit)
+        if not on.all():
+            active, at, n, left = active[on], at[on], n[on], left[on]
     if not later:
         return
     later, earlier, more = np.concatenate(later), np.concatenate(earlier), np.concatenate(more)
@@ -345,17 +368,15 @@ def propose(rows: np.ndarray, limit: int, only: np.ndarray | None = None) -> Ite
 def propose_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """``propose`` on a task's runs; a task may hold several buckets, and takes all of them at once."""
     held = [_records(b) for b in batches]
-    yield from propose(np.concatenate(held) if held else np.zeros(0, RECORD), limit)
+    if held:
+        yield from propose({c: np.concatenate([h[c] for h in held]) for c in held[0]}, limit)
 
 
 def propose_rows(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if parts:
         table = pa.concat_tables(parts)
-        rows = np.zeros(table.num_rows, dtype=RECORD)
-        for c in RECORD.names:
-            rows[c] = np.asarray(table[c]).view(rows.dtype[c])
-        yield from propose(rows, limit, only)
+        yield from propose({c.split()[0]: np.asarray(table[c.split()[0]]) for c in MEETING.split(", ")}, limit, only)
 
 
 def _in_bitmap(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -379,7 +400,8 @@ def _place_key(doc, line):
 
 
 def wanted_lines(texts: DataFrame, bitmap) -> DataFrame:
-    """``node``, ``check`` and the words' text, for the lines whose place the bitmap passes; only those lines are hashed."""
+    """``node``, ``check``, number of words, a parity bitmap of SKETCH bits and the words, for the lines whose place the bitmap passes;
+    only those lines are hashed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,9 +417,11 @@ def wanted_lines(texts: DataFrame, bitmap) -> DataFrame:
                 for at in range(0, len(ok), 60_000):
                     chosen = [pieces[i][j] for i, j in zip(text[ok[at : at + 60_000]].tolist(), line[ok[at : at + 60_000]].tolist(), strict=True)]
                     lines = Lines(chosen)
-                    yield pa.RecordBatch.from_arrays([pa.array(lines.node), pa.array(lines.check), pa.array([chosen[i] for i in lines.text.tolist()], pa.binary())], names=["node", "check", "words"])
+                    columns = [pa.array(lines.node), pa.array(lines.check), pa.array(lines.size.astype(np.int32)), pa.array(lines.sketches(), pa.binary()), pa.array([chosen[i] for i in lines.text.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "check", "size", "sketch", "words"])
 
-    return texts.mapInArrow(emit, "node long, check int, words binary").groupBy("node", "check").agg(F.first("words").alias("words"))
+    found = texts.mapInArrow(emit, "node long, check int, size int, sketch binary, words binary")
+    return found.groupBy("node", "check").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "words")])
 
 
 def _places(pairs: DataFrame) -> np.ndarray:
@@ -412,6 +436,17 @@ def _places(pairs: DataFrame) -> np.ndarray:
     return _bitmap(pairs.select("later_doc", "later_line", "earlier_doc", "earlier_line").mapInArrow(key, "place long"), "place")
 
 
+def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parity bitmaps allow the threshold: they differ in at most as many bits as the sets may in words."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            both = np.asarray(batch["n"]).astype(np.int64) + np.asarray(batch["m"])
+            need = np.ceil(both * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
+            ok = pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= both - 2 * need)
+            yield pa.RecordBatch.from_arrays([batch[c].filter(ok) for c in ("later", "earlier")], names=["later", "earlier"])
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -426,14 +461,14 @@ def matched_nodes(texts: DataFrame, rarity: np.ndarray, total: int) -> DataFrame
     """``node``, ``check`` of every distinct line of which a different, earlier line is similar; ``total`` is the number of prefix rows."""
     spark = texts.sparkSession
     tasks = parts_for(total, TASK_ROWS)
-    runs = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity), 8 * tasks), "line-prefixes")  # several a task, for even tasks
+    runs = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity), 8 * tasks), "line-prefixes", "zstd")  # several a task, for even tasks
     usual, common = runs.where(F.col("bucket") != COMMON), unpacked(runs.where(F.col("bucket") == COMMON))
 
     def settle(pairs: DataFrame) -> DataFrame:
         lines = materialise(wanted_lines(texts, spark.sparkContext.broadcast(_places(pairs))), "line-words")
-        a = lines.select(F.col("node").alias("later"), "check", F.col("words").alias("a"))
-        b = lines.select(F.col("node").alias("earlier"), F.col("words").alias("b"))
-        both = pairs.select("later", "earlier").distinct().join(b, "earlier").join(a, "later")
+        side = lambda node, words, *others: lines.select(F.col("node").alias(node), F.col(words[0]).alias(words[1]), *others)
+        close = pairs.select("later", "earlier").distinct().join(side("earlier", ("sketch", "b"), F.col("size").alias("m")), "earlier").join(side("later", ("sketch", "a"), F.col("size").alias("n")), "later").mapInArrow(likely, "later long, earlier long")
+        both = close.distinct().join(side("earlier", ("words", "b")), "earlier").join(side("later", ("words", "a"), "check"), "later")
         return both.mapInArrow(verify, "node long, check int, good boolean").where("good").select("node", "check").distinct()
 
     met = common_meetings(common)
