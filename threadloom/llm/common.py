@@ -6,7 +6,10 @@ executor sees it, so a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +56,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     """How many groups hold ``rows`` rows at about ``each`` rows a group."""
     return max(least, -(-rows // each))
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """For work that makes many objects and no cycles: the collector is off meanwhile."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

@@ -19,9 +19,11 @@ and score each; an empty training fold leaves every bit at one half; an empty ta
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ from threadloom.llm.common import documents, materialise, parts_for
 from threadloom.llm.hashing import distinct, word_keys
 
 DEPTH = 5
-CHUNK_ROWS = 12288
-#: Texts of a chunk whose keys are held at a time.
-STEP = 1024
+#: Texts, and bytes of text, of a chunk, about.
+CHUNK_ROWS, CHUNK_BYTES = 12288, 40 << 20
+#: Texts, and bytes of text, of a chunk whose keys are held at a time; one longer text is taken alone.
+STEP, STEP_BYTES = 1024, 4 << 20
 SHARD_GRAMS = 400_000
 END = 255
 GRAM, WORD = 0, 1
@@ -90,10 +93,20 @@ def _merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return keys[head], np.add.reduceat(n, head)
 
 
+def _steps(table: pa.Table) -> Iterator[pa.Table]:
+    """A chunk's rows, a bounded number and size at a time."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(table["text"]), 0)), dtype=np.int64)
+    lo = 0
+    while lo < table.num_rows:
+        done = ends[lo - 1] if lo else 0
+        hi = min(lo + STEP, max(lo + 1, int(np.searchsorted(ends, done + STEP_BYTES, side="right"))))
+        yield table.slice(lo, hi - lo)
+        lo = hi
+
+
 def count_chunk(table: pa.Table) -> pa.Table:
     chunk, found = table["chunk"][0].as_py(), {GRAM: [], WORD: []}
-    for lo in range(0, table.num_rows, STEP):
-        part = table.slice(lo, STEP)
+    for part in _steps(table):
         texts, train = _lower(part), in_training(part["doc_id"].to_pylist())
         keys, counts = _by_parts(gram_keys, texts)
         found[GRAM].append(_tally(keys, np.repeat(train, counts)))
@@ -237,8 +250,7 @@ def score_chunk(docs: pa.Table, values: pa.Table, tokens: int, distinct: int) ->
 
     end = float(found(WORD, np.array([END_WORD]))[0]) if docs.num_rows else 0.0
     floor, out = tokens + distinct + 1, []
-    for lo in range(0, docs.num_rows, STEP):
-        part = docs.slice(lo, STEP)
+    for part in _steps(docs):
         texts, ids = _lower(part), part["doc_id"].to_pylist()
         grams, sizes = _by_parts(gram_keys, texts)
         words, n_words = _by_parts(word_keys, texts)
@@ -265,7 +277,8 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_documents(docs: DataFrame) -> DataFrame:
     rows = documents(docs)
-    chunks = parts_for(rows.count(), CHUNK_ROWS)
+    many, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    chunks = max(parts_for(many, CHUNK_ROWS), parts_for(size or 0, CHUNK_BYTES))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     items = materialise(chunked.groupBy("chunk").applyInArrow(count_chunk, "chunk int, kind int, key long, n long"), "items")
     counts = materialise(items.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, materialise
-from threadloom.llm.tokens import encoder, no_cycles
+from threadloom.llm.common import documents, materialise, no_cycles
+from threadloom.llm.tokens import encoder
 
 LENGTH = 2048
 DIMS, BITS = 3, 10

@@ -10,8 +10,8 @@ tile returns counts and a spanning forest of its links, not pairs, and the fores
 With BANDS bands of ROWS values, a pair at the threshold of 0.8 misses every bucket with probability (1 - 0.8**5)**30, below 1e-5.
 
 Defined results: words are lower-cased runs of non-blanks; a text of one to four words is one shingle; null and empty texts have none
-and never link; a null ``doc_id`` ranks last in its group; repeated rows are copies; an empty table gives an empty table; other
-columns are ignored by the report and kept by the filter.
+and never link; a null ``doc_id`` ranks last in its group; repeated rows are copies; an empty table gives an empty table; a very long
+text is hashed whole; other columns, whatever their names, are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, materialise, parts_for
+from threadloom.llm.common import boxed, documents, field, materialise, parts_for
 from threadloom.llm.hashing import BASE, distinct, inside, mix, sequence_keys, word_keys
 from threadloom.plans.fixpoint import connected_components
 
@@ -295,7 +295,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, unchanged, that lead their group: one of each; repeats of a leader's row are dropped with the rest."""
-    lead = similarity_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_text_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.join(lead, marked["doc_id"].cast("long").eqNullSafe(lead["_id"]) & (marked["_text_mark"] == lead["_mark"]))
-    return joined.dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    groups = similarity_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    lead = groups.select(F.col("doc_id").alias("id"), F.col("mark").alias("its")).distinct()
+    rows = boxed(docs).withColumn("mark", F.xxhash64("text"))
+    joined = rows.join(lead, rows["doc_id"].eqNullSafe(lead["id"]) & (rows["mark"] == lead["its"]))
+    return joined.dropDuplicates(["id", "its"]).select(*[field(c) for c in docs.columns])

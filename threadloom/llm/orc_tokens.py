@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, fresh_path
-from threadloom.llm.tokens import encoder, no_cycles
+from threadloom.llm.common import documents, fresh_path, no_cycles
+from threadloom.llm.tokens import encoder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}

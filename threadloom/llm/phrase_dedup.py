@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, materialise, parts_for
+from threadloom.llm.common import documents, materialise, no_cycles, parts_for
 from threadloom.llm.hashing import inside, sequence_keys, sliding_argmin, word_keys
 
 WINDOW = 20
@@ -170,6 +170,12 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("starts", pa.l
 
 
 def locate(stream: pa.Table, confirmed: pa.Table) -> pa.Table:
+    """``located`` without the cycle collector, which would only walk the words' codes again and again."""
+    with no_cycles():
+        return located(stream, confirmed)
+
+
+def located(stream: pa.Table, confirmed: pa.Table) -> pa.Table:
     """Starts, segment by segment, of windows that begin earlier elsewhere, found by an automaton over the confirmed windows."""
     import ahocorasick
 
@@ -249,8 +255,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.min("route").alias("route"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     confirmed = materialise(firsts.select("window", "first.doc", "first.start", "route"), "confirmed")
     stream = segments(marked, bitmap, hot, shards)
-    located = stream.groupBy("shard").cogroup(confirmed_to_shards(confirmed, hot, shards).groupBy("shard")).applyInArrow(locate, "doc_id long, mark long, starts array<int>")
-    return materialise(located, "located").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = stream.groupBy("shard").cogroup(confirmed_to_shards(confirmed, hot, shards).groupBy("shard")).applyInArrow(locate, "doc_id long, mark long, starts array<int>")
+    return materialise(found, "located").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ training fold's labels maps its margin to a probability.
 The fit takes at most SAMPLE rows of each kind, the smallest by a keyed hash of ``doc_id``; that bound is the only sample.
 Every document is scored, over its whole text, in one narrow pass.
 
-Defined results: a null or empty text has all-zero features and is scored like any other; without positives or unlabelled rows
-in the fold every score is 0.5; repeated rows get equal scores; of repeated labels the smallest counts; other columns are ignored.
+Defined results: a null or empty text has all-zero features and is scored like any other; a very long text is scored whole; without
+positives or unlabelled rows in the fold every score is 0.5; with one of either the prior is NO_PRIOR; a score of exactly KEEP is kept;
+repeated rows get equal scores; of repeated labels the smallest counts; an empty table gives an empty table; other columns, whatever
+their names, are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents
+from threadloom.llm.common import boxed, documents, field
 
 #: Rows of each kind (positive, negative, unlabelled) used to fit.
 SAMPLE = 20_000
 KEEP = 0.7
+#: The prior where there is but one positive or one unlabelled row to estimate it from.
+NO_PRIOR = 0.5
 _MARKS = b"\n \t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER, _LOWER, _DIGIT, _HIGH = range(65, 91), range(97, 123), range(48, 58), range(128, 256)
 
@@ -97,6 +101,8 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
         a, b = p[::2], u[::2]
         return a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + 1e-3 * w
 
+    if len(p) < 2 or len(u) < 2:
+        return NO_PRIOR
     w = _adam(gradient, p.shape[1], 200)
     sp, su = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
     cuts = np.quantile(sp, np.linspace(0, 0.7, 36))
@@ -174,28 +180,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All input columns and ``score``."""
-    names = docs.columns
+    """``row`` (the document as it came), ``doc_id`` and ``score``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 512):
                 piece = batch.slice(lo, 512)
-                texts = [(t or "").encode() for t in piece.column(names.index("text")).to_pylist()]
+                texts = [t.encode() for t in piece["text"].to_pylist()]
                 value = np.full(len(texts), 0.5) if model is None or not texts else model.score(features(texts))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(value, pa.float64())], names=[*names, "_score"])
+                yield pa.RecordBatch.from_arrays([piece["row"], piece["doc_id"], pa.array(value, pa.float64())], names=["row", "doc_id", "score"])
 
-    schema = docs.select(*docs.columns, F.lit(0.0).alias("_score")).schema
-    return docs.mapInArrow(score, schema)
+    rows = boxed(docs)
+    return rows.mapInArrow(score, rows.select("row", "doc_id", F.lit(0.0).alias("score")).schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(*training_rows(docs, labels))
-    scored = score_documents(documents(docs), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= KEEP).cast("int").alias("predicted"))
+    scored = score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The documents, unchanged, that the classifier accepts."""
     model = fit(*training_rows(docs, labels))
-    return score_documents(docs, model).where(F.col("_score") >= least).drop("_score")
+    return score_documents(docs, model).where(F.col("score") >= least).select(*[field(c) for c in docs.columns])

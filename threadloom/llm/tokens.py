@@ -9,10 +9,7 @@ the pre-tokeniser's own pattern as a whole. ``Encoder.ids`` cuts a text at the v
 
 from __future__ import annotations
 
-import gc
 from array import array
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -104,18 +101,6 @@ class Encoder:
         return b"".join(self._added.get(part) or self.encode(part) for part in self._cut.split(text))
 
 
-@contextmanager
-def no_cycles() -> Iterator[None]:
-    """Encoding makes no cycles; the collector would only walk the memo again and again."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
