@@ -75,8 +75,8 @@ def test_every_two_substitutions_are_found(spark):
     rows += [(100, " ".join(three)), (101, " ".join(item[14:24])), (102, None), (103, "w " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
-    got = {r.doc_id: (r.contaminated, r.first_word) for r in decontaminate.report(docs, bench).collect()}  # a window may begin a word early
-    assert [k for k in range(78) if not got[k][0] or got[k][1] not in (1, 2)] == [] and not any(got[k][0] for k in range(100, 104))
+    got = {r.doc_id: (r.contaminated, r.first_word) for r in decontaminate.report(docs, bench).collect()}  # a window may begin up to two words early
+    assert [k for k in range(78) if not got[k][0] or got[k][1] not in (0, 1, 2)] == [] and not any(got[k][0] for k in range(100, 104))
 
 
 def test_a_large_benchmark_is_joined_by_shuffle(spark, docs):
