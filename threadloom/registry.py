@@ -33,11 +33,17 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
     return add
 
 
+def _all() -> None:
+    from threadloom import registry_corpus  # noqa: F401, PLC0415 - it registers its queries here
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
