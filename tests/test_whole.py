@@ -19,7 +19,7 @@ def rows(df):
 def graph():
     """Neighbours of every customer and (negative) supplier over all lineitems."""
     near = defaultdict(set)
-    for a, b in duckdb.sql(f"SELECT o_custkey, -l_suppkey FROM '{SF}/orders.parquet' JOIN '{SF}/lineitem.parquet' ON o_orderkey = l_orderkey WHERE o_custkey <> -l_suppkey").fetchall():
+    for a, b in duckdb.sql(f"SELECT o_custkey, -(l_suppkey + 1) FROM '{SF}/orders.parquet' JOIN '{SF}/lineitem.parquet' ON o_orderkey = l_orderkey ").fetchall():
         near[a].add(b)
         near[b].add(a)
     return near
@@ -52,7 +52,7 @@ def lines():
 
 
 def test_pagerank_has_converged(spark):
-    edges = [(a, -b, w) for a, b, w in lines()]
+    edges = [(a, -(b + 1), w) for a, b, w in lines()]
     nodes, out = {n for a, b, _ in edges for n in (a, b)}, defaultdict(int)
     for a, _, w in edges:
         out[a] += w

@@ -34,7 +34,7 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
 
 
 def _all() -> None:
-    from threadloom import registry_corpus  # noqa: F401, PLC0415 - it registers its queries here
+    from threadloom import registry_corpus, registry_inference  # noqa: F401, PLC0415 - they register their queries here
 
 
 def queries() -> dict[str, Query]:
@@ -106,13 +106,12 @@ def nearest_event(spark, d):
 
 
 @query("""
-WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE value > 90 GROUP BY ALL),
+WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c GROUP BY event_type),
-s AS (SELECT event_type, day, n, CASE WHEN n IS NULL THEN 'missing' WHEN n < 5 THEN 'thin' ELSE 'supported' END AS status FROM g LEFT JOIN c USING (event_type, day))
+s AS (SELECT event_type, day, n, CASE WHEN n IS NULL THEN 'missing' WHEN n < 20 THEN 'thin' ELSE 'supported' END AS status FROM g LEFT JOIN c USING (event_type, day))
 SELECT event_type, day, n, status, avg(CASE WHEN status <> 'supported' THEN 1.0e0 ELSE 0.0e0 END) OVER (PARTITION BY event_type) > 1.0e0 / 3 AS weekly FROM s""", dates=("day",))
 def daily_timeline(spark, d):
-    x = day_events(spark, d).where("value > 90")
-    return aggregates.support_status(aggregates.dense_days(x, F.col("day"), ["event_type"]), ["event_type"], least=5)
+    return aggregates.support_status(aggregates.dense_days(day_events(spark, d), F.col("day"), ["event_type"]), ["event_type"])
 
 
 @query("""
@@ -267,8 +266,7 @@ def proximity_detector(spark, d):
     return t(spark, d, "documents").select("doc_id", text.near_each_other(F.col("text"), "licensed", "version").alias("near"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(password|license|licensed|version|the)'))), '|') AS hits FROM documents WHERE false
-UNION ALL SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(licensed|password|license|version|the)'))), '|') FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(licensed|password|license|version|the)'))), '|') AS hits FROM documents""")
 def term_hits(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(text.distinct_hits(F.col("text"), ["password", "license", "licensed", "version", "the"]), "|").alias("hits"))
 
@@ -344,11 +342,11 @@ def frame_transitions(spark, d):
     return n.select("source", "target", "n", r9(F.col("n") / F.sum("n").over(Window.partitionBy("source"))).alias("row_share"), r9(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("overall_share"))
 
 
-_CO = "SELECT DISTINCT o_custkey AS a, -l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49 AND o_orderpriority = '1-URGENT'"
+_CO = "SELECT DISTINCT o_custkey AS a, -(l_suppkey + 1) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
 def co_edges(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
+    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (-(F.col("l_suppkey") + 1)).alias("b")).distinct()
 
 
 @query(f"""
@@ -358,20 +356,25 @@ def component_sizes(spark, d):
     return graph.component_sizes(co_edges(spark, d))
 
 
-@query("""SELECT conv_id * 100 + turn AS node, CAST(turn AS INTEGER) AS depth FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)""")
+@query("""SELECT conv_id * 100000 + turn AS node, CAST(turn AS INTEGER) AS depth FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)""")
 def thread_depth(spark, d):
     c = t(spark, d, "conversations")
-    e = c.where("turn > 0").select((F.col("conv_id") * 100 + F.col("turn") - 1).alias("p"), (F.col("conv_id") * 100 + F.col("turn")).alias("c"))
+    e = c.where("turn > 0").select((F.col("conv_id") * 100_000 + F.col("turn") - 1).alias("p"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("c"))
     return graph.reach_levels(e, "p", "c").select("node", F.col("depth").cast("int").alias("depth"))
 
 
 @query()
 def actor_pagerank(spark, d):
-    e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("s"), (-F.col("l_suppkey")).alias("t")).agg(F.count(F.lit(1)).alias("w"))
+    e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("s"), (-(F.col("l_suppkey") + 1)).alias("t")).agg(F.count(F.lit(1)).alias("w"))
     return graph.pagerank(e, "s", "t", "w", rounds=300, tolerance=1e-6).select("node", r9("rank").alias("rank"))
 
 
-@query()
+_BIRANK = "WITH e AS MATERIALIZED (SELECT o_custkey AS l, l_suppkey AS r, CAST(count(*) AS DOUBLE) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), x AS (SELECT 0 AS k, 'left' AS side, l AS node, 1.0e0 AS s FROM (SELECT DISTINCT l FROM e) UNION ALL SELECT 0, 'right', r, 1.0e0 FROM (SELECT DISTINCT r FROM e))"
+_BIRANK = _BIRANK.replace("WITH e", "WITH RECURSIVE e") + """, i(k, side, node, s) AS (SELECT * FROM x UNION ALL SELECT k + 1, side, node, t / sum(t) OVER (PARTITION BY side) FROM (SELECT k, 'left' AS side, l AS node, sum(w * s) AS t FROM i JOIN e ON i.side = 'right' AND i.node = r WHERE k < 100 GROUP BY k, l
+ UNION ALL SELECT k, 'right', r, sum(w * s) FROM i JOIN e ON i.side = 'left' AND i.node = l WHERE k < 100 GROUP BY k, r))"""
+
+
+@query(f"{_BIRANK} SELECT side, node, round(s, 9) AS score FROM i WHERE k = 100")
 def bipartite_birank(spark, d):
     e = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", F.lit(1.0).alias("w"))
     return graph.birank(e, "o_custkey", "l_suppkey", "w", rounds=100).select("side", "node", r9("score").alias("score"))
@@ -620,17 +623,6 @@ def wilson_interval(spark, d):
     return s.select("lang", "n", r9(low).alias("low"), r9(high).alias("high"))
 
 
-@query(f"""
-WITH c AS (SELECT o_orderpriority AS g, o_custkey AS cl, sum(o_totalprice) AS y, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT g, r, y, n, {KEY_SQL.format("'b|' || CAST(r AS VARCHAR) || '|' || CAST(cl AS VARCHAR)")} % 1000 / 1000.0e0 AS u FROM c, generate_series(1, 20) t(r)),
-w AS (SELECT *, CASE WHEN u < 0.368e0 THEN 0 WHEN u < 0.736e0 THEN 1 WHEN u < 0.92e0 THEN 2 ELSE 3 END AS m FROM b)
-SELECT g, r AS replicate, round(sum(m * y) / sum(m * n), 4) AS mean FROM w GROUP BY ALL""")
-def cluster_bootstrap(spark, d):
-    c = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.col("o_custkey").alias("cl")).agg(F.sum("o_totalprice").alias("y"), F.count(F.lit(1)).alias("n"))
-    b = c.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("r")).withColumn("u", F.pmod(stats.stable_key(F.lit("b"), F.col("r"), F.col("cl")), F.lit(1000)) / 1000.0)
-    m = F.when(F.col("u") < 0.368, 0).when(F.col("u") < 0.736, 1).when(F.col("u") < 0.92, 2).otherwise(3)
-    return b.withColumn("m", m).groupBy("g", F.col("r").alias("replicate")).agg(F.round(F.sum(F.col("m") * F.col("y")) / F.sum(F.col("m") * F.col("n")), 4).alias("mean"))
-
-
 @query("""SELECT p_brand, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, count(*) AS n FROM part GROUP BY p_brand""")
 def ols_slope(spark, d):
     return t(spark, d, "part").groupBy("p_brand").agg(F.round(F.regr_slope("p_retailprice", F.col("p_size").cast("double")), 6).alias("slope"), F.round(F.regr_intercept("p_retailprice", F.col("p_size").cast("double")), 4).alias("intercept"), F.count(F.lit(1)).alias("n"))
