@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,23 +181,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``row`` (the document as it came), ``doc_id`` and ``score``."""
+    """``row`` (the document as it came) and ``score``; the text crosses to Python once, inside the row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 512):
                 piece = batch.slice(lo, 512)
-                texts = [t.encode() for t in piece["text"].to_pylist()]
+                texts = [(t or "").encode() for t in pc.struct_field(piece["row"], "text").to_pylist()]
                 value = np.full(len(texts), 0.5) if model is None or not texts else model.score(features(texts))
-                yield pa.RecordBatch.from_arrays([piece["row"], piece["doc_id"], pa.array(value, pa.float64())], names=["row", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([piece["row"], pa.array(value, pa.float64())], names=["row", "score"])
 
-    rows = boxed(docs)
-    return rows.mapInArrow(score, rows.select("row", "doc_id", F.lit(0.0).alias("score")).schema)
+    rows = boxed(docs).select("row")
+    return rows.mapInArrow(score, rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(*training_rows(docs, labels))
-    scored = score_documents(docs.select("doc_id", "text"), model)
+    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select(field("doc_id"), "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 

@@ -22,8 +22,8 @@ _WIDE = regex.compile(rf"[{SPACE}] ")
 _NARROW = tuple(b + " " for b in " \t\n\x0b\x0c\r")
 #: Marks that form a piece of their own behind a word.
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-#: Entries of the memo of one worker process; about 200 bytes each.
-MEMO = 1_200_000
+#: Entries of the memo of one worker process; about 250 bytes each.
+MEMO = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
