@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 URL = r"(?:https?://|www\.)[^\s]+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 HANDLE = r"(^|[^A-Za-z0-9_])@[A-Za-z0-9_]{2,}"
 PHONE = r"\+?[0-9][0-9 ()-]{7,}[0-9]"
 
@@ -42,30 +42,33 @@ def presence(*parts: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """Addresses, URLs, phone-like numbers and handles replaced by placeholders, in that order."""
-    out = F.regexp_replace(text, EMAIL, "<EMAIL>")
+    at = F.contains(text, F.lit("@"))
+    out = F.when(at, F.regexp_replace(text, EMAIL, "<EMAIL>")).otherwise(text)
     out = F.regexp_replace(out, URL, "<URL>")
     out = F.regexp_replace(out, PHONE, "<PHONE>")
-    return F.regexp_replace(out, HANDLE, "$1<USER>")
+    return F.when(at, F.regexp_replace(out, HANDLE, "$1<USER>")).otherwise(out)
 
 
 def mask_counts(text: Column) -> Column:
-    return F.struct(F.regexp_count(text, F.lit(EMAIL)).alias("emails"), F.regexp_count(text, F.lit(URL)).alias("urls"), F.regexp_count(text, F.lit(PHONE)).alias("phones"))
+    emails = F.when(F.contains(text, F.lit("@")), F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
+    return F.struct(emails.alias("emails"), F.regexp_count(text, F.lit(URL)).alias("urls"), F.regexp_count(text, F.lit(PHONE)).alias("phones"))
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
-def has_term(text: Column, term: str) -> Column:
-    """The term between non-alphanumerics, case folded."""
-    return F.lower(text).rlike(rf"(^|[^a-z0-9]){term}([^a-z0-9]|$)")
+def has_term(text: Column, *terms: str) -> Column:
+    """Any of the terms between non-alphanumerics, case folded: one pattern, however many terms."""
+    return F.lower(text).rlike(rf"(^|[^a-z0-9])({'|'.join(terms)})([^a-z0-9]|$)")
 
 
 def lexicon_groups(text: Column, groups: dict[str, list[str]], gate: str | None = None, context: list[str] | None = None) -> Column:
-    """Names of the groups with a term in the text. With a gate, other groups count only if the gate group or a context term does."""
-    fires = {name: F.greatest(*[has_term(text, t) for t in terms], F.lit(False)) for name, terms in groups.items()}
+    """Names of the groups with a term in the text. With a gate, other groups count only if the gate group or a context term does; the
+    gate is read only where such a group fires."""
+    fires = {name: has_term(text, *terms) for name, terms in groups.items()}
     if gate:
-        opened = fires[gate] | F.greatest(*[has_term(text, t) for t in context or []], F.lit(False), F.lit(False))
+        opened = has_term(text, *groups[gate], *(context or []))
         fires = {name: f if name == gate else f & opened for name, f in fires.items()}
     return F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in fires.items()]))
 
