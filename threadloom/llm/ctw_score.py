@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import documents, materialise, parts_for
+from threadloom.llm.common import documents, materialise, parts_for, thrifty
 from threadloom.llm.hashing import distinct, word_keys
 
 DEPTH = 5
@@ -35,7 +35,7 @@ DEPTH = 5
 CHUNK_ROWS, CHUNK_BYTES = 12288, 40 << 20
 #: Texts, and bytes of text, of a chunk whose keys are held at a time; one longer text is taken alone.
 STEP, STEP_BYTES = 1024, 4 << 20
-SHARD_GRAMS = 400_000
+SHARD_GRAMS = 150_000
 END = 255
 GRAM, WORD = 0, 1
 #: The end token's key; words have mixed, practically never zero, hashes.
@@ -280,7 +280,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     many, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     chunks = max(parts_for(many, CHUNK_ROWS), parts_for(size or 0, CHUNK_BYTES))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    items = materialise(chunked.groupBy("chunk").applyInArrow(count_chunk, "chunk int, kind int, key long, n long"), "items")
+    items = materialise(chunked.groupBy("chunk").applyInArrow(thrifty(count_chunk), "chunk int, kind int, key long, n long"), "items")
     counts = materialise(items.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     is_word, is_gram = F.col("kind") == WORD, F.col("kind") == GRAM
     known = F.col("n") > 0
@@ -290,14 +290,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tokens, distinct = sums["tokens"] or 0, sums["distinct"]
     shard = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(parts_for(sums["grams"], SHARD_GRAMS))).cast("int")
     grams = counts.where(is_gram).select("key", "n", shard.alias("shard"))
-    tops = grams.where(known).groupBy("shard").applyInArrow(shard_tops, "last long, node long, n0 double, n1 double, log double")
+    tops = grams.where(known).groupBy("shard").applyInArrow(thrifty(shard_tops), "last long, node long, n0 double, n1 double, log double")
     # at most 256 * 255 rows, whatever the corpus: one a last byte and node
     nodes = tops.groupBy("last", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log"))
     upper = upper_tree(byte_tops(nodes.toArrow().sort_by([("last", "ascending"), ("node", "ascending")])))
-    scores = grams.groupBy("shard").applyInArrow(lambda t: shard_scores(t, upper), "key long, value double").withColumn("kind", F.lit(GRAM))
+    scores = grams.groupBy("shard").applyInArrow(thrifty(lambda t: shard_scores(t, upper)), "key long, value double").withColumn("kind", F.lit(GRAM))
     words = counts.where(is_word).select("key", F.col("n").cast("double").alias("value"), F.lit(WORD).alias("kind"))
     values = items.select("chunk", "kind", "key").join(scores.unionByName(words), ["kind", "key"])
-    return chunked.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(lambda d, v: score_chunk(d, v, tokens, distinct), RESULT)
+    return chunked.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(thrifty(lambda d, v: score_chunk(d, v, tokens, distinct)), RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:
