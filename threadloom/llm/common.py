@@ -10,7 +10,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
-from functools import wraps
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,13 +83,12 @@ def give_back() -> None:
 
 
 def thrifty(f: Callable) -> Callable:
-    """``f`` over one group after another, each beginning and ending with freed memory given back."""
+    """``f``, of one group's table or of two, beginning and ending with freed memory given back."""
 
-    @wraps(f)
-    def call(*args):
+    def call(*tables):
         give_back()
-        out = f(*args)
+        out = f(*tables)
         give_back()
         return out
 
-    return call
+    return (lambda a, b: call(a, b)) if len(signature(f).parameters) == 2 else (lambda a: call(a))  # Spark reads the number of arguments
