@@ -15,15 +15,21 @@ def small(dim: DataFrame, bound: int = CALENDAR_BOUND) -> DataFrame:
     return F.broadcast(dim) if dim.limit(bound + 1).count() <= bound else dim
 
 
-def in_window(rows: DataFrame, at: Column, windows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Rows with every half-open window [start, end) that holds them."""
-    return rows.join(small(windows), (at >= F.col(start)) & (at < F.col(end)))
+def in_window(rows: DataFrame, at: Column, windows: DataFrame, start: str = "start", end: str = "end", bound: int = CALENDAR_BOUND) -> DataFrame:
+    """Rows, streaming or not, with every half-open window [start, end) that holds them. More than ``bound`` windows are spread over their
+    days, so that rows meet them on an equal day."""
+    inside = (at >= F.col(start)) & (at < F.col(end))
+    if windows.limit(bound + 1).count() <= bound:
+        return rows.join(F.broadcast(windows), inside)
+    days = windows.where(F.col(start) < F.col(end)).withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+    return rows.join(days, (F.to_date(at) == F.col("_day")) & inside).drop("_day")
 
 
 def nearest(rows: DataFrame, key: str, at: Column, calendar: DataFrame, when: str, name: str) -> DataFrame:
-    """The calendar entry nearest in days to each row, ties to the earlier, and the signed offset. The calendar is a bounded
-    dimension, packed into one array that every row scans: no join, no shuffle."""
-    packed = small(calendar).agg(F.array_sort(F.collect_list(F.struct(F.col(when).alias("when"), F.col(name).alias("name")))).alias("_cal"))
+    """The calendar entry nearest in days to each row, ties to the earlier, and the signed offset. Of a day's entries the first alone can
+    win, so the calendar shrinks to a row a day, in one array that every row scans: no join, no shuffle, and no growth with its rows."""
+    firsts = calendar.groupBy(F.to_date(when).alias("_day")).agg(F.min(F.struct(F.col(when).alias("when"), F.col(name).alias("name"))).alias("first"))
+    packed = firsts.agg(F.array_sort(F.collect_list("first")).alias("_cal"))
     joined = rows.crossJoin(F.broadcast(packed))  # one row
     ranked = F.array_min(F.transform("_cal", lambda c: F.struct(F.abs(F.datediff(at, c["when"])).alias("gap"), c["when"].alias("when"), c["name"].alias("name"))))
     return joined.withColumn("_n", ranked).withColumn("nearest", F.col("_n.name")).withColumn("offset_days", F.datediff(at, F.col("_n.when"))).drop("_n", "_cal")

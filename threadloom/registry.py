@@ -34,7 +34,7 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
 
 
 def _all() -> None:
-    from threadloom import registry_corpus, registry_inference  # noqa: F401, PLC0415 - they register their queries here
+    from threadloom import registry_annotation, registry_corpus, registry_inference  # noqa: F401, PLC0415 - they register their queries here
 
 
 def queries() -> dict[str, Query]:
@@ -729,3 +729,10 @@ def stream_first_seen(spark, d):
 @query(f"""SELECT CAST(day - CAST(i AS INTEGER) AS DATE) AS start, event_type, count(*) AS n FROM ({EVENTS_DAY}), range(7) r(i) GROUP BY ALL""", dates=("start",))
 def stream_sliding_weeks(spark, d):
     return _drained(spark, streams.sliding_counts(_event_stream(spark, d), "ts", ["event_type"]), "complete")
+
+
+@query(f"""SELECT event_id, w.scope FROM events, {WINDOWS_SQL} WHERE ts >= s AND ts < e""")
+def stream_event_windows(spark, d):
+    """Streamed events with the windows that hold them; the windows are a static table."""
+    dim = spark.createDataFrame(WINDOWS, "scope string, s string, e string").select("scope", F.col("s").cast("timestamp").alias("start"), F.col("e").cast("timestamp").alias("end"))
+    return _drained(spark, joins.in_window(_event_stream(spark, d), F.col("ts"), dim).select("event_id", "scope"), "append")
