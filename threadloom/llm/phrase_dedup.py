@@ -10,8 +10,8 @@ equal windows have equal owners at equal offsets. Three passes over whole texts:
    sequences of its distinct runs of confirmed windows and locates every occurrence, so equality is settled on words; of the windows
    in an occurrence, those that aren't the earliest of their kind go.
 
-Owners that hold more than a ten-thousandth of all anchors (so fewer than ten thousand exist) are salted over several shards, and their
-confirmed windows are sent to each.
+Owners of more than SHARD_SEGMENTS segments are salted over several shards, and their confirmed windows are sent to each. The list of such
+owners is a table, joined like any other.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` comes last; rows that repeat a ``doc_id`` are one document
 as to order, so a window at the same start of both stays in both; an empty table gives an empty table; other columns are ignored.
@@ -105,17 +105,17 @@ def candidate_windows(docs: DataFrame, bitmap) -> DataFrame:
     return docs.mapInArrow(emit, "window long, doc long, start int, route int")
 
 
-def _mixed32(route: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    x = route.astype(np.uint64) * np.uint64(0x9E3779B1) + salt.astype(np.uint64) * np.uint64(0x85EBCA77)
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``shard`` in place of ``route`` and ``salt``."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("route", "salt"), F.lit(shards)).cast("int")).drop("route", "salt")
 
 
-def shard_of(route: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
-    return (_mixed32(route, salt) % np.uint64(shards)).astype(np.int32)
+def with_ways(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``ways``, over how many shards each row's owner is salted."""
+    return rows.join(hot, "route", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
 
 
-def segments(docs: DataFrame, bitmap, hot: dict[int, int], shards: int) -> DataFrame:
+def segments(docs: DataFrame, bitmap, hot: DataFrame, shards: int) -> DataFrame:
     """Runs of passed windows with one owner, with their words, dealt to shards."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,30 +140,20 @@ def segments(docs: DataFrame, bitmap, hot: dict[int, int], shards: int) -> DataF
                     if t not in split:
                         split = {t: texts[t].split()}
                     slices.append(b" ".join(split[t][a:b]).decode())
-                ways = np.array([hot.get(r, 1) for r in route.tolist()], dtype=np.int64)
-                salt = (text + lo) % ways
                 marks = np.asarray(part["mark"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard_of(route, salt, shards)), part["doc_id"].take(pa.array(text)), pa.array(marks[text]), pa.array(begin.astype(np.int32)), pa.array(slices)],
-                    names=["shard", "doc_id", "mark", "start", "words"],
+                    [pa.array(route), part["doc_id"].take(pa.array(text)), pa.array(marks[text]), pa.array(begin.astype(np.int32)), pa.array(slices)],
+                    names=["route", "doc_id", "mark", "start", "words"],
                 )
 
-    return docs.mapInArrow(emit, "shard int, doc_id long, mark long, start int, words string")
+    runs = with_ways(docs.mapInArrow(emit, "route int, doc_id long, mark long, start int, words string"), hot)
+    return dealt(runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), "ways").cast("int")).drop("ways"), shards)
 
 
-def confirmed_to_shards(confirmed: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
+def confirmed_to_shards(confirmed: DataFrame, hot: DataFrame, shards: int) -> DataFrame:
     """Each confirmed window at every shard that its owner's segments go to."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            route = np.asarray(batch["route"])
-            ways = np.array([hot.get(r, 1) for r in route.tolist()], dtype=np.int64)
-            row = np.repeat(np.arange(len(route)), ways)
-            salt = np.arange(len(row)) - np.repeat(np.cumsum(ways) - ways, ways)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(route[row], salt, shards)), *(batch[c].take(take) for c in ("window", "doc", "start"))], names=["shard", "window", "doc", "start"])
-
-    return confirmed.mapInArrow(emit, "shard int, window long, doc long, start int")
+    salted = with_ways(confirmed, hot).select("window", "doc", "start", "route", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"))
+    return dealt(salted, shards)
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("starts", pa.list_(pa.int32()))])
@@ -246,9 +236,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     anchors = marked.select("text").mapInArrow(anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     recurring = materialise(anchors.where(F.col("n") > 1), "anchors")
     total = recurring.agg(F.sum("n")).first()[0] or 0
-    many = max(SHARD_SEGMENTS, total // 10_000)
-    routes = recurring.where(F.col("n") > many).select(F.col("anchor").bitwiseAND(0x7FFFFFFF).cast("int").alias("route"), "n").collect()  # fewer than 10,000, as n > total / 10,000
-    hot = {r["route"]: -(-r["n"] // SHARD_SEGMENTS) for r in routes}
+    route = F.col("anchor").bitwiseAND(0x7FFFFFFF).cast("int").alias("route")
+    owned = recurring.groupBy(route).agg(F.sum("n").alias("n")).where(F.col("n") > SHARD_SEGMENTS)
+    hot = materialise(owned.select("route", F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int").alias("ways")), "hot")
     shards = parts_for(total, SHARD_SEGMENTS)
     bitmap = spark.sparkContext.broadcast(recurring_bitmap(recurring))
     windows = candidate_windows(marked.select("doc_id", "text"), bitmap)
