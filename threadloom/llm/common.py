@@ -76,7 +76,6 @@ def give_back() -> None:
     """Return freed memory to the system: a worker is kept for later tasks, and so would be the pages of its greatest moment."""
     import ctypes
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # a C library without this call keeps its pages
         ctypes.CDLL(None).malloc_trim(0)

@@ -34,8 +34,10 @@ DEPTH = 5
 #: Texts, and bytes of text, of a chunk, about.
 CHUNK_ROWS, CHUNK_BYTES = 12288, 40 << 20
 #: Texts, and bytes of text, of a chunk whose keys are held at a time; one longer text is taken alone.
-STEP, STEP_BYTES = 1024, 4 << 20
+STEP, STEP_BYTES = 512, 2 << 20
 SHARD_GRAMS = 150_000
+#: Grams of a shard whose tree is held at a time, about; one two-byte context with more is taken alone.
+PIECE = 32_768
 END = 255
 GRAM, WORD = 0, 1
 #: The end token's key; words have mixed, practically never zero, hashes.
@@ -87,12 +89,19 @@ def _lower(table: pa.Table) -> list[bytes]:
 def _merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """One tally of several."""
     keys, n = (np.concatenate(x) for x in zip(*tallies, strict=True))
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # a few sorted runs
     keys, n = keys[order], n[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[head], np.add.reduceat(n, head)
 
 
+def _push(tallies: list[tuple[np.ndarray, np.ndarray]], new: tuple[np.ndarray, np.ndarray]) -> None:
+    """Add a tally; each of the list is more than twice as long as the next, so few keys are held twice."""
+    tallies.append(new)
+    while len(tallies) > 1 and 2 * len(tallies[-1][0]) >= len(tallies[-2][0]):
+        tallies.append(_merged([tallies.pop(), tallies.pop()]))
+
+
 def _steps(table: pa.Table) -> Iterator[pa.Table]:
     """A chunk's rows, a bounded number and size at a time."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(table["text"]), 0)), dtype=np.int64)
@@ -109,9 +118,9 @@ def count_chunk(table: pa.Table) -> pa.Table:
     for part in _steps(table):
         texts, train = _lower(part), in_training(part["doc_id"].to_pylist())
         keys, counts = _by_parts(gram_keys, texts)
-        found[GRAM].append(_tally(keys, np.repeat(train, counts)))
+        _push(found[GRAM], _merged([_tally(keys, np.repeat(train, counts))]))
         keys, counts = _by_parts(word_keys, texts)
-        found[WORD].append(_tally(np.r_[keys, np.full(len(texts), END_WORD)], np.r_[np.repeat(train, counts), train]))
+        _push(found[WORD], _merged([_tally(np.r_[keys, np.full(len(texts), END_WORD)], np.r_[np.repeat(train, counts), train])]))
     out = []
     for kind, tallies in found.items():
         key, n = _merged(tallies)
@@ -185,12 +194,28 @@ def deep_levels(key: np.ndarray, n: np.ndarray) -> tuple[list[_Level], list[np.n
     return levels, places, bit
 
 
+def _pieces(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of a shard's grams, whole two-byte contexts at a time: their trees have no node of depth 2 or more in common."""
+    last = ((key >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)
+    order = np.argsort(last, kind="stable")
+    last = last[order]
+    ends = np.r_[np.flatnonzero(last[1:] != last[:-1]) + 1, len(key)]
+    lo = 0
+    while lo < len(key):
+        i = int(np.searchsorted(ends, lo + PIECE, side="right"))
+        hi = int(ends[i - 1] if i and ends[i - 1] > lo else ends[i])
+        yield order[lo:hi]
+        lo = hi
+
+
 def shard_tops(table: pa.Table) -> pa.Table:
     """Nodes of depth 2 that a shard's grams make."""
-    key, n = np.asarray(table["key"]).view(np.uint64), np.asarray(table["n"])
-    top = deep_levels(key, n)[0][-1]
-    ctx = (top.ids >> np.uint64(8)).astype(np.int64)
-    return pa.table({"last": ctx & 255, "node": (top.ids & np.uint64(255)).astype(np.int64), "n0": top.n0, "n1": top.n1, "log": top.log})
+    key, n, out = np.asarray(table["key"]).view(np.uint64), np.asarray(table["n"]), []
+    for at in _pieces(key):
+        top = deep_levels(key[at], n[at])[0][-1]
+        ctx = (top.ids >> np.uint64(8)).astype(np.int64)
+        out.append(pa.table({"last": ctx & 255, "node": (top.ids & np.uint64(255)).astype(np.int64), "n0": top.n0, "n1": top.n1, "log": top.log}))
+    return pa.concat_tables(out)
 
 
 def byte_tops(table: pa.Table) -> pa.Table:
@@ -213,6 +238,13 @@ def upper_tree(rows: pa.Table) -> dict[str, np.ndarray]:
 def shard_scores(table: pa.Table, upper: dict[str, np.ndarray]) -> pa.Table:
     """The log10 probability of each gram's byte after its context."""
     key, n = np.asarray(table["key"]).view(np.uint64), np.asarray(table["n"])
+    value = np.empty(len(key))
+    for at in _pieces(key):
+        value[at] = _piece_scores(key[at], n[at], upper)
+    return pa.table({"key": table["key"], "value": value})
+
+
+def _piece_scores(key: np.ndarray, n: np.ndarray, upper: dict[str, np.ndarray]) -> np.ndarray:
     levels, places, bit = deep_levels(key, n)
     p = levels[0].estimate(places[0], bit)
     below = levels[0].seen[places[0]]
@@ -226,7 +258,7 @@ def shard_scores(table: pa.Table, upper: dict[str, np.ndarray]) -> pa.Table:
         own = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1)
         p = np.where(below, w * own + (1 - w) * p, own)
         below = n0 + n1 > 0
-    return pa.table({"key": table["key"], "value": np.log10(p).reshape(-1, 8).sum(axis=1)})
+    return np.log10(p).reshape(-1, 8).sum(axis=1)
 
 
 def _by_text(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
