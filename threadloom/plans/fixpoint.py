@@ -40,6 +40,17 @@ def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the folders of a ``saved`` table that nothing will read again; any other table is left alone."""
+    spark = table.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = f"{shared_folder(spark)}/threadloom/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if own.split("://")[-1].replace("//", "/") in folder:
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], digest: Callable[[DataFrame], tuple], rounds: int = 100) -> DataFrame:
     """Apply ``step`` until ``digest`` of the saved state stays the same."""
     before = digest(state)
