@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import ctw_score, curve_pack, decontaminate, exact_dedup, line_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan
+from threadloom.llm import centroids, ctw_score, curve_pack, decontaminate, exact_dedup, line_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan, spelling
 from threadloom.llm.common import load
 from threadloom.llm.tokens import default_vocabulary
 
@@ -51,6 +51,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(load(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(load(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
@@ -69,5 +77,83 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+#: The hash is the usual reflected CRC-32: its table by rule, then a fold over the UTF-8 bytes. Near words meet on a word with one
+#: letter masked (replacements) or left out (deletions, insertions).
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), lookup AS (
+  SELECT list(c ORDER BY i) AS places FROM bits WHERE k = 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), distinct_runs AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b
+  FROM distinct_runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, places[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, lookup
+), vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary
+), less AS (
+  SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM places
+), masked AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS mask FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.mask = b.mask AND a.i = b.i AND a.word <> b.word
+  UNION ALL
+  SELECT l.word, v.word, v.n FROM less l JOIN vocabulary v ON l.cut = v.word
+  UNION ALL
+  SELECT v.word, l.word, l.n FROM less l JOIN vocabulary v ON l.cut = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL
+  SELECT walk.word, forms.form FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT forms.word, forms.form, walk.at AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN walk ON walk.word = forms.word JOIN forms ends ON ends.word = walk.at WHERE ends.form IS NULL
+"""
+
+
+def _op12_sql(rounds: int = centroids.ROUNDS, k: int = centroids.K) -> str:
+    """The rounds written out: a vector is its components by place, a distance their sum."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, c) - 1 AS j, c FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, c FROM v) QUALIFY j < {k}
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, c, first(j ORDER BY d, j) AS j, min(d) AS d
+  FROM (SELECT v.r, v.vec_id, v.c, m.j, list_sum(list_transform(list_zip(v.c, m.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i} m) GROUP BY ALL
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT old.j, coalesce(new.c, old.c) AS c FROM c{i} old LEFT JOIN (
+    SELECT j, list(CASE WHEN s >= 0 OR s % n = 0 THEN s // n ELSE -((-s + n - 1) // n) END ORDER BY place) AS c
+    FROM (SELECT j, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(c) AS x, generate_subscripts(c, 1) AS place FROM a{i}) GROUP BY ALL) GROUP BY j
+  ) new ON old.j = new.j
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.j = m.j"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op12_centroid_clustering": _op12_sql()}
