@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import centroids, ctw_score, curve_pack, decontaminate, exact_dedup, line_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan, spelling
+from threadloom.llm import centroids, ctw_score, curve_pack, decontaminate, exact_dedup, line_dedup, near_join, orc_tokens, phrase_dedup, quality_pu, secret_scan, sketch_dedup, spelling
 from threadloom.llm.common import load
 from threadloom.llm.tokens import default_vocabulary
 
@@ -59,6 +59,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(load(spark, sf_dir, "embeddings"))
 
 
+def op13_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
@@ -127,6 +131,37 @@ FROM forms JOIN walk ON walk.word = forms.word JOIN forms ends ON ends.word = wa
 """
 
 
+#: All pairs of different sets that share a shingle; the reported rows are the same as by bands unless a link shares no band (below 3e-8 a link).
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS own FROM d
+), sets AS (
+  SELECT row_number() OVER () AS id, own, len(own) AS n FROM (SELECT DISTINCT own FROM s WHERE len(own) > 0)
+), words AS (
+  SELECT id, n, unnest(own) AS x FROM sets
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM words a JOIN words b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS start, a AS at FROM both_ways UNION SELECT start, b FROM reach JOIN both_ways ON at = a
+), led AS (
+  SELECT sets.id, coalesce(at, sets.id) AS other FROM sets LEFT JOIN reach ON sets.id = start
+), members AS (
+  SELECT s.doc_id, sets.id, sets.n FROM s JOIN sets USING (own)
+), least_of AS (
+  SELECT led.id, min(doc_id) AS component_id FROM led JOIN members ON members.id = led.other GROUP BY led.id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM members JOIN least_of USING (id)
+UNION ALL
+SELECT doc_id, 0, doc_id, true FROM s WHERE len(own) = 0
+"""
+
+
 def _op12_sql(rounds: int = centroids.ROUNDS, k: int = centroids.K) -> str:
     """The rounds written out: a vector is its components by place, a distance their sum."""
     parts = [
@@ -156,4 +191,4 @@ FROM a{rounds} a JOIN c{rounds} m ON a.j = m.j"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op12_centroid_clustering": _op12_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op12_centroid_clustering": _op12_sql(), "op13_sketch_dedup": OP13_SQL}
