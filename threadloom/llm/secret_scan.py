@@ -2,17 +2,20 @@ r"""Secret scans: base patterns, and windowed Shannon entropy over candidate str
 
 Base spans are leftmost non-overlapping matches of three patterns. A candidate is a run of 20 or more token
 characters; it belongs to the narrowest class that holds it (hex, alnum, base64), and a window of 20 characters slides
-over it. The window's counts are kept per character and changed by one for the character that enters and the one
-that leaves, and with them the sum of ``n log2 n`` from which the entropy follows. A candidate whose best window
+over it. The window's counts are kept per character of the word and changed by one for the character that enters and the one
+that leaves, in time proportional to the word's length, and with them the sum of ``n log2 n`` from which the entropy follows. A candidate whose best window
 reaches its class's threshold is a span of kind ``entropy``, unless an allow-list pattern matches it or a base span
 overlaps it.
 
 Defined results: a null or empty text has no spans (``spans`` is empty, ``base_sha256`` that of the empty string);
-repeated rows are scanned each; any other columns are ignored. One narrow pass: no shuffle, one output row an input row.
+repeated rows are scanned each; texts and candidates of any length are scanned whole; any other columns, whatever their names, are
+ignored. One narrow pass: no shuffle, one output row an input row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ ALLOWED = (
     r"^(.)\1*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)(example|sample|placeholder|changeme|dummy|xxxx|0{8}|1234567)",
-    r"^[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*$",
+    r"^[A-Za-z]++([/_=-]++[A-Za-z]++)*+[/_=-]*$",  # possessive: no stack for a long path
 )
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -69,27 +72,37 @@ def _weigh(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is bound, an expression would be written out at every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def best_window_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of any ``window`` consecutive characters."""
-    letters = F.split(word, "")
-    alphabet = F.array_distinct(letters)
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.array_position(alphabet, F.element_at(letters, i))
-        leaves = F.when(i > window, F.array_position(alphabet, F.element_at(letters, F.greatest(i - window, F.lit(1))))).otherwise(F.lit(0))
-        less = F.transform(state["counts"], lambda n, j: n - F.when(j + 1 == leaves, 1).otherwise(0))
-        gone = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)).cast("int"))).otherwise(F.lit(0))
-        had = F.element_at(less, enters.cast("int"))
-        total = state["total"] - _weigh(gone) + _weigh(gone - 1) - _weigh(had) + _weigh(had + 1)
-        bits = F.lit(window).cast("double")
-        return F.struct(
-            F.transform(less, lambda n, j: n + F.when(j + 1 == enters, 1).otherwise(0)).alias("counts"),
-            total.alias("total"),
-            F.when(i >= window, F.greatest(state["best"], F.log2(bits) - total / bits)).otherwise(state["best"]).alias("best"),
-        )
-
-    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: state["best"])
+    """The largest Shannon entropy, in bits a character, of any ``window`` consecutive characters.
+
+    The word becomes numbers of its distinct letters once; each step then touches one count for the letter that enters and one for the
+    letter that leaves, in time proportional to the letters' number, whatever the length of the word.
+    """
+    bits = float(window)
+
+    def numbers(letters: Column) -> Column:
+        return held(F.array_distinct(letters), lambda alphabet: F.struct(F.transform(letters, lambda c: F.array_position(alphabet, c).cast("int")).alias("code"), F.transform(alphabet, lambda _: F.lit(0)).alias("zero")))
+
+    def walk(word: Column) -> Column:
+        code = word["code"]
+
+        def step(state: Column, i: Column) -> Column:
+            enters, leaves = F.element_at(code, i), F.when(i > window, F.element_at(code, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            gone = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
+            had = F.element_at(state["counts"], enters) - F.when(enters == leaves, 1).otherwise(0)
+            total = state["total"] - _weigh(gone) + _weigh(gone - 1) - _weigh(had) + _weigh(had + 1)
+            changed = held(F.struct(enters.alias("enters"), leaves.alias("leaves")), lambda e: F.transform(state["counts"], lambda n, j: n + F.when(j + 1 == e["enters"], 1).otherwise(0) - F.when(j + 1 == e["leaves"], 1).otherwise(0)))
+            return held(total, lambda t: F.struct(changed.alias("counts"), t.alias("total"), F.when(i >= window, F.greatest(state["best"], F.log2(F.lit(bits)) - t / bits)).otherwise(state["best"]).alias("best")))
+
+        start = F.struct(word["zero"].alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(code)), start, step, lambda state: state["best"])
+
+    return F.when(F.length(word) > 0, held(held(F.split(word, ""), numbers), walk)).otherwise(F.lit(0.0))
 
 
 def _suspicious(word: Column) -> Column:
@@ -107,8 +120,10 @@ def _suspicious(word: Column) -> Column:
 def entropy_spans(text: Column, base: Column) -> Column:
     """Candidates over their threshold that no base span overlaps."""
     spans = located(text, CANDIDATE, KINDS.index("entropy"), CANDIDATE)
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.filter(free, lambda s: _suspicious(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+    words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))  # beside their spans, so that no word is cut out of the text again
+    both = F.zip_with(spans, words, lambda s, w: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), w.alias("word")))
+    free = held(base, lambda known: F.filter(both, lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    return F.transform(F.filter(free, lambda s: _suspicious(s["word"])), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
 
 def joined(spans: Column) -> Column:
