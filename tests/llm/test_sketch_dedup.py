@@ -66,9 +66,10 @@ def docs(spark):
     return spark.createDataFrame(rows(), "doc_id long, text string").select("*", *clash).repartition(4)
 
 
-@pytest.mark.parametrize("tile, shingle_count", [(sketch_dedup.TILE, sketch_dedup.TILE_SHINGLES), (4, sketch_dedup.TILE_SHINGLES), (3, 300)])
-def test_equals_all_pairs(docs, monkeypatch, tile, shingle_count):
-    """Whatever the size from which pieces are taken apart and tiled."""
+@pytest.mark.parametrize("tile, shingle_count, direct", [(sketch_dedup.TILE, sketch_dedup.TILE_SHINGLES, 16), (8, sketch_dedup.TILE_SHINGLES, 16), (4, sketch_dedup.TILE_SHINGLES, 1), (3, 300, 0)])
+def test_equals_all_pairs(docs, monkeypatch, tile, shingle_count, direct):
+    """Whatever the size from which pieces are tiled and taken apart."""
+    monkeypatch.setattr(sketch_dedup, "DIRECT_TILES", direct)
     monkeypatch.setattr(sketch_dedup, "TILE", tile)
     monkeypatch.setattr(sketch_dedup, "TILE_SHINGLES", shingle_count)
     got = [tuple(r) for r in sketch_dedup.report(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()]
@@ -104,11 +105,11 @@ def test_sketch_of_a_text_ignores_its_batch():
 
 def test_a_pair_is_verified_in_its_first_shared_bucket_only(monkeypatch):
     seen = []
-    monkeypatch.setattr(sketch_dedup, "similar", lambda a, b: seen.append(1) or False)
+    monkeypatch.setattr(sketch_dedup, "overlaps", lambda a, b, pairs: seen.append(len(pairs)) or np.zeros(len(pairs), dtype=int))
     bands = np.zeros((2, sketch_dedup.BANDS), dtype=np.int64)
-    bands[0, 0], bands[1, 0] = 5, 6
+    bands[0, 0], bands[1, 0] = 50, 60
     bands[:, 1:] = np.arange(1, sketch_dedup.BANDS)
     sets, label, rows_ = [np.arange(9, dtype=np.uint64)] * 2, np.array([0, 1]), np.array([0, 1])
     for bucket in range(1, sketch_dedup.BANDS):
         sketch_dedup.forest(sets, bands, label, rows_, rows_, bucket)
-    assert len(seen) == 1
+    assert seen == [1]

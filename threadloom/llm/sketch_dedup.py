@@ -7,10 +7,11 @@ cost near the number of shingles instead of their product with the bins.
 
 Documents with equal shingle sets are one class (a 128-bit digest of the set), and classes are compared, copies are not. BANDS bands of
 ROWS bins propose candidates; every class of a bucket is hung on the bucket's smallest, so candidates are stars and never all pairs.
-A connected piece of up to TILE classes is verified in one place. A larger one goes through two steps: each class is verified against
-the heads of its buckets, in blocks, which joins groups of near copies at a linear cost; then only buckets that still hold classes of
-several components are dealt to tiles, where pairs of different components meet. Everywhere a pair is compared exactly, on its full
-sets, if it shares a band, its sizes allow the threshold and nothing has linked it yet. With the defaults a pair at the threshold
+A connected piece of candidates is cut into tiles of about TILE classes or TILE_SHINGLES, and up to DIRECT_TILES of them all meet. A
+larger piece goes through two steps: each class is verified against the heads of its buckets, in blocks, which joins groups of near
+copies at a linear cost; then classes of different components meet, tile by tile, within each bucket that still holds several, or
+within the piece where that sends fewer rows. Everywhere a pair is compared exactly, on its full sets, if it shares a band, its sizes
+allow the threshold and it isn't known to be joined. With the defaults a pair at the threshold
 shares no band with probability (1 - 0.85**5)**30, below 3e-8; every pair that shares one is decided exactly.
 
 Defined results: words are runs of non-blanks with A to Z lower-cased; one to four words are one shingle; null, empty and blank texts have
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import documents, materialise, parts_for
 from threadloom.llm.hashing import BASE, mix
 from threadloom.llm.near_join import LAST, shingles
+from threadloom.llm.near_join import _overlaps as overlaps
 from threadloom.plans.fixpoint import connected_components
 
 #: Similarity of a link, in hundredths.
 THRESHOLD = 85
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-#: Classes of a piece that is verified in one place, and of a tile.
-TILE = 256
-#: Shingles (8 bytes each) of such a piece or tile, and of the groups that a task gets at a time, about.
+#: Classes of a tile, and tiles of a piece up to which they all meet directly.
+TILE, DIRECT_TILES = 256, 16
+#: Shingles (8 bytes each) of a tile, and of the groups that a task gets at a time, about.
 TILE_SHINGLES, TASK_SHINGLES = 1 << 20, 1 << 21
 #: Bytes of text that a step turns into shingles.
 STEP_BYTES = 1 << 20
@@ -146,18 +148,29 @@ def candidate_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(emit, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold, exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
-
-
 def forest(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: int | None = None) -> list[tuple[int, int]]:
     """Edges that join what the links between ``left`` and ``right`` (rows; all pairs of one if they are the same) join.
 
-    A pair is verified if it shares a band, its sizes allow a link, its labels differ and no edge found so far joins it; with a
-    ``bucket``, only if that is the first band the two share, as each of their buckets sees the pair.
+    A pair is verified if it shares a band, its sizes allow a link and its labels differ; with a ``bucket``, only if that is the first
+    band the two share, as each of their buckets sees the pair.
     """
+    sizes = np.array([len(x) for x in sets])
+    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    met = np.zeros(small.shape, dtype=bool)
+    chosen = met.copy()
+    for k in range(BANDS):
+        equal = bands[left, k][:, None] == bands[right, k][None, :]
+        chosen |= equal if bucket is None else equal & ~met & (bands[left, k] == bucket)[:, None]
+        met |= equal
+    chosen &= (100 * small >= THRESHOLD * large) & (label[left][:, None] != label[right][None, :])
+    if left is right:
+        chosen = np.triu(chosen, 1)
+    pairs = np.argwhere(chosen)
+    if not len(pairs):
+        return []
+    both = overlaps([sets[i] for i in left], [sets[j] for j in right], pairs)
+    a, b = left[pairs[:, 0]], right[pairs[:, 1]]
+    linked = 100 * both >= THRESHOLD * (sizes[a] + sizes[b] - both)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -166,18 +179,12 @@ def forest(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, left: n
             x = root[x]
         return x
 
-    sizes, out = np.array([len(x) for x in sets]), []
-    for a in left.tolist():
-        others = right[right > a] if left is right else right
-        small, large = np.minimum(sizes[a], sizes[others]), np.maximum(sizes[a], sizes[others])
-        others = others[(100 * small >= THRESHOLD * large) & (label[others] != label[a])]
-        equal = bands[others] == bands[a]
-        shared = equal.any(axis=1) if bucket is None else equal.any(axis=1) & (bands[a][equal.argmax(axis=1)] == bucket)
-        for b in others[shared].tolist():
-            p, q = find(int(label[a])), find(int(label[b]))
-            if p != q and similar(sets[a], sets[b]):
-                root[max(p, q)] = min(p, q)
-                out.append((a, b))
+    out = []
+    for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
     return out
 
 
@@ -225,8 +232,24 @@ def own_tile(parts: str) -> Column:
     return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
 
 
+def _seat(kind: int, i: Column, j: Column, side: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+
+def tile_pairs(kind: int, parts: str) -> Column:
+    """The pairs of tiles that a class of ``tile`` takes part in, each tile with itself and every other."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda k: _seat(kind, F.least("tile", k), F.greatest("tile", k), F.when(F.col("tile") > k, 1).otherwise(0)))
+
+
+def _directly(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges within pieces of ``parts`` tiles, every tile against every other."""
+    own = members.withColumn("tile", own_tile("parts"))
+    dealt = own.select("node", "component", F.explode(tile_pairs(0, "parts")).alias("at")).select("node", F.col("node").alias("label"), no_bucket(), "component", "at.*")
+    return confirmed(dealt, known, ["component", "i", "j"])
+
+
 def _heads(members: DataFrame, banded: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges between classes of large pieces and the heads of their buckets. A head meets its classes in blocks, one copy of it each."""
+    """Edges between classes of giant pieces and the heads of their buckets. A head meets its classes in blocks, one copy of it each."""
     pairs = banded.join(members.select("node"), "node", "left_semi").where("node <> hub").select("node", "hub").distinct().join(known.select("node", "size"), "node")
     pairs = materialise(pairs, "head-pairs")
     blocks = pairs.groupBy("hub").agg(tiles(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
@@ -235,27 +258,29 @@ def _heads(members: DataFrame, banded: DataFrame, known: DataFrame) -> DataFrame
     return confirmed(own.unionByName(head).select("*", F.col("node").alias("label"), no_bucket()), known, ["hub", "block"])
 
 
-def _across(members: DataFrame, banded: DataFrame, known: DataFrame, label: DataFrame) -> DataFrame:
-    """Edges between classes of one bucket and different components. The bucket's largest component is tiled apart from the rest, and
-    its tiles never meet each other, so its classes are sent once for each tile of the rest."""
-    rows = banded.join(members.select("node"), "node", "left_semi").select("bucket", "node").join(label, "node").join(known.select("node", "size"), "node")
-    rows = materialise(rows, "labelled-buckets")
-    by_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    mixed = by_label.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")
-    ).where("labels > 1").select("bucket", F.col("main.label").alias("main"), tiles(F.col("main.n"), F.col("main.s")).alias("wide"), tiles(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest"))
-    own = rows.join(mixed, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
-    own = own.withColumn("tile", F.when(F.col("is_main"), own_tile("wide")).otherwise(own_tile("rest")))
-    against_main = F.when(F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("tile").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
-    among_rest = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))),
-        F.transform(
-            F.sequence(F.lit(0), F.col("rest") - 1),
-            lambda k: F.struct(F.lit(1).alias("kind"), F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"), F.when(F.col("tile") > k, 1).otherwise(0).alias("side")),
-        ),
-    )
-    dealt = own.select("node", "label", "bucket", F.explode(against_main.otherwise(among_rest)).alias("at")).select("node", "label", "bucket", "at.*")
-    return confirmed(dealt, known, ["bucket", "kind", "i", "j"])
+def _across(members: DataFrame, known: DataFrame, label: DataFrame) -> DataFrame:
+    """Edges between classes of different components within one bucket, or within one piece where that sends fewer rows.
+
+    The largest component of such a group is tiled apart from the rest, and its tiles never meet each other, so its classes are sent
+    once for each tile of the rest.
+    """
+    base = materialise(members.select("node", "component").join(label, "node").join(known.select("node", "size", "bands"), "node"), "labelled")
+    sent = lambda: F.count(F.lit(1)) * tiles(F.count(F.lit(1)), F.sum("size"))
+    by_bucket = base.select("component", "size", F.explode("bands").alias("bucket")).groupBy("component", "bucket").agg(F.when(F.count(F.lit(1)) > 1, sent()).alias("rows")).groupBy("component").agg(F.sum("rows").alias("apart"))
+    whole = base.groupBy("component").agg(sent().alias("rows")).join(by_bucket, "component").select("component", (F.col("rows") <= F.coalesce("apart", F.lit(0))).alias("whole"))
+    placed = base.join(whole, "component")
+    rows = placed.where("whole").select("node", "label", "size", "whole", F.xxhash64("component").alias("place"))
+    rows = rows.unionByName(placed.where("not whole").select("node", "label", "size", "whole", F.explode("bands").alias("place")))
+    by_label = rows.groupBy("whole", "place", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    mixed = by_label.groupBy("whole", "place").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("labels > 1")
+    mixed = mixed.select("whole", "place", F.col("main.label").alias("main"), tiles(F.col("main.n"), F.col("main.s")).alias("wide"), tiles(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest"))
+    is_main = F.col("label") == F.col("main")
+    own = rows.join(mixed, ["whole", "place"]).withColumn("tile", F.when(is_main, own_tile("wide")).otherwise(own_tile("rest")))
+    against_rest = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: _seat(0, F.col("tile"), j, F.lit(0)))
+    against_main = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: _seat(0, i, F.col("tile"), F.lit(1)))
+    seats = F.when(is_main, against_rest).otherwise(F.concat(against_main, tile_pairs(1, "rest")))
+    dealt = own.select("node", "label", "whole", "place", F.explode(seats).alias("at")).select("node", "label", F.when(~F.col("whole"), F.col("place")).alias("bucket"), "whole", "place", "at.*")
+    return confirmed(dealt, known, ["whole", "place", "kind", "i", "j"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -271,16 +296,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = banded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     pieces = materialise(connected_components(stars).join(classes.select("node", "size"), "node"), "pieces")
     known = materialise(pieces.select("node").join(classes.select("node", "bands", "size"), "node").join(candidate_sets(texts, pieces), "node"), "sets")
-    wide = pieces.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).withColumn("large", (F.col("n") > TILE) | (F.col("s") > TILE_SHINGLES))
-    sized = pieces.select("node", "component").join(wide.select("component", "large"), "component")
-    small = sized.where("not large").select("node", F.col("node").alias("label"), F.lit(0).alias("side"), no_bucket(), "component")
-    edges = materialise(confirmed(small, known, ["component"]), "edges")
-    members = materialise(sized.where("large").select("node"), "large")
-    if not members.isEmpty():
-        first = materialise(_heads(members, banded, known), "edges")
+    sized = pieces.groupBy("component").agg(tiles(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    members = pieces.select("node", "component").join(sized, "component")
+    edges = materialise(_directly(members.where(F.col("parts") <= DIRECT_TILES), known), "edges")
+    giant = materialise(members.where(F.col("parts") > DIRECT_TILES), "giant")
+    if not giant.isEmpty():
+        first = materialise(_heads(giant, banded, known), "edges")
         so_far = connected_components(first).select("node", F.col("component").alias("label"))
-        label = materialise(members.join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        edges = edges.unionByName(first).unionByName(materialise(_across(members, banded, known, label), "edges"))
+        label = giant.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        edges = edges.unionByName(first).unionByName(materialise(_across(giant, known, label), "edges"))
     groups = connected_components(edges)
     of_class = materialise(classes.select("node", "least").join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "groups")
     of_group = of_class.groupBy("component").agg(F.min("least").alias("first"))
