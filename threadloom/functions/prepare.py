@@ -136,17 +136,34 @@ def utc_bound(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-#: Masking shared by all exports. A phone number has nine digits or more, so that dates and prose stay.
-SHARED_URL = r"(?i)(?:https?://|www\.)[^\s<]+"
-SHARED_EMAIL = r"(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+(?![\w.-])"
-SHARED_PHONE = r"(?<![\w-])(?=\+?(?:[().\s-]*\d){9})\+?\d[\d().\s-]{7,}\d(?![\w-])"
-SHARED_HANDLE = r"(?<![\w@])@\w[A-Za-z0-9_.-]*"
+#: The patterns of the masking shared by all exports, over Unicode letters, digits and blanks.
+SHARED_URL = r"(?:https?://|www\.)[^\s<]+"
+SHARED_EMAIL = r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+(?![\w.-])"
+SHARED_PHONE = r"(?<![\w-])\+?[\d][\d().\s-]{7,}[\d](?![\w-])"
+SHARED_HANDLE = r"(?<![\w@])@[A-Za-z0-9_][A-Za-z0-9_.-]*"
+#: Digits that a phone number has at least, so that dates and prose stay.
+PHONE_DIGITS = 9
+
+
+def unicode_classes(pattern: str) -> str:
+    r"""The pattern with its classes written out, as the JVM's ``\w``, ``\d`` and ``\s`` know ASCII alone; all stand inside brackets."""
+    for short, full in ((r"\w", r"\p{L}\p{N}_"), (r"\d", r"\p{Nd}"), (r"\s", r"\s\x1c-\x1f\x85\p{Z}")):
+        pattern = pattern.replace(short, full)
+    return pattern
 
 
 def shared_mask(text: Column) -> Column:
-    """URLs, contact details and handles replaced; texts without a digit, ``@`` or URL mark skip the pattern for it."""
+    """URLs, contact details and handles replaced; texts without a digit, ``@`` or URL mark skip the pattern for it.
+
+    A run that looks like a phone number but has too few digits stays as a whole, and the search goes on behind it.
+    """
+    url, phone, handle = "(?iu)" + unicode_classes(SHARED_URL), unicode_classes(SHARED_PHONE), unicode_classes(SHARED_HANDLE)
+    email = unicode_classes(SHARED_EMAIL).replace(")+(?!", ")++(?!")  # giving labels back never helps, and keeping them needs no stack
     out = F.coalesce(text, F.lit(""))
-    out = F.when(F.contains(out, F.lit("://")) | F.contains(F.lower(out), F.lit("www.")), F.regexp_replace(out, SHARED_URL, "<URL>")).otherwise(out)
-    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, SHARED_EMAIL, "<PII>")).otherwise(out)
-    out = F.when(out.rlike("[0-9]"), F.regexp_replace(out, SHARED_PHONE, "<PII>")).otherwise(out)
-    return F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, SHARED_HANDLE, "@user")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("://")) | F.contains(F.lower(out), F.lit("www.")), F.regexp_replace(out, url, "<URL>")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, email, "<PII>")).otherwise(out)
+    digits = lambda x: F.length(F.regexp_replace(x, r"\P{Nd}", ""))
+    masked = F.transform(F.regexp_extract_all(out, F.lit(phone), F.lit(0)), lambda x: F.when(digits(x) >= PHONE_DIGITS, "<PII>").otherwise(x))
+    joined = F.array_join(F.zip_with(F.split(out, phone, -1), F.concat(masked, F.array(F.lit(""))), lambda between, found: F.concat(between, found)), "")
+    out = F.when(out.rlike(r"\p{Nd}"), joined).otherwise(out)
+    return F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, handle, "@user")).otherwise(out)
