@@ -72,6 +72,22 @@ def no_cycles() -> Iterator[None]:
             gc.enable()
 
 
+_caches: list[dict] = []
+
+
+def process_cache() -> dict:
+    """A dict that a worker process keeps from task to task, until a stage of another kind calls ``forget``."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def forget() -> None:
+    """Drop what earlier stages cached in this worker process, and give the memory back."""
+    for cache in _caches:
+        cache.clear()
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker is kept for later tasks, and so would be the pages of its greatest moment."""
     import ctypes

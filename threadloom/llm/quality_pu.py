@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import boxed, documents, field
+from threadloom.llm.common import boxed, documents, field, forget
 
 #: Rows of each kind (positive, negative, unlabelled) used to fit.
 SAMPLE = 20_000
@@ -184,6 +184,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """``row`` (the document as it came) and ``score``; the text crosses to Python once, inside the row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 512):
                 piece = batch.slice(lo, 512)

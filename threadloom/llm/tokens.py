@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 import regex
 
+from threadloom.llm.common import process_cache
+
 #: The Unicode White_Space characters, as in the pre-tokeniser's ``\s``.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokeniser's published pattern.
@@ -37,7 +39,7 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[str, "Encoder"] = process_cache()
 
 
 class _Memo(dict):
