@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import boxed, documents, field, materialise, parts_for
+from threadloom.llm.common import boxed, documents, field, forget, materialise, parts_for
 from threadloom.llm.hashing import BASE, distinct, line_words, mix
 
 THRESHOLD = 0.8
@@ -144,6 +144,7 @@ def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Line rows, leaf by leaf, and at the end of a partition its word counts, each line of a step counted once."""
     from pyspark import TaskContext
 
+    forget()
     part = TaskContext.get().partitionId()
     count = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in FACTS.split(", ")])
@@ -297,18 +298,30 @@ def unpacked(runs: DataFrame, keep=None) -> DataFrame:
     return runs.mapInArrow(emit, MEETING)
 
 
-def common_meetings(rows: DataFrame) -> DataFrame:
-    """Rows of common words at the blocks where they meet: a word with more than SPLIT_ROWS rows is cut into blocks of about that many."""
-    counted = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT_ROWS)
-    hot = materialise(counted.select("meet", F.ceil(F.col("n") / SPLIT_ROWS).alias("ways")), "split-words")
-    many = hot.count()
+def common_meetings(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of common words at the blocks where they meet, and how many there are.
+
+    A word with more than SPLIT_ROWS rows first keeps each distinct line once, at its earliest place (copies of a line are no pairs),
+    and what still has more is cut into blocks of about SPLIT_ROWS.
+    """
+    counted = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(counted.where(F.col("n") > SPLIT_ROWS).select("meet", "n"), "split-words")
+    many, copies = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
+    total = rows.count()
     if not many:
-        return rows
-    joined = rows.join(F.broadcast(hot) if many <= HOT_BOUND else hot, "meet", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+        return rows, total
+    side = F.broadcast(hot.select("meet")) if many <= HOT_BOUND else hot.select("meet")
+    others = [c for c in rows.columns if c not in ("meet", "node", "doc", "line")]
+    earliest = rows.join(side, "meet", "left_semi").groupBy("meet", "node").agg(F.min(F.struct("doc", "line", *others)).alias("at")).select("meet", "node", "at.*").select(*rows.columns)
+    once = materialise(earliest, "split-rows")
+    ways = materialise(once.groupBy("meet").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).alias("ways"), F.count(F.lit(1)).alias("n")), "split-words")
+    sent = ways.agg(F.sum(F.col("ways") * F.col("n"))).first()[0]
+    joined = once.join(F.broadcast(ways.select("meet", "ways")) if many <= HOT_BOUND else ways.select("meet", "ways"), "meet")
     mine = joined.withColumn("mine", F.pmod(F.xxhash64("node"), "ways")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
     block = F.xxhash64("meet", F.least("mine", "other"), F.greatest("mine", "other"))
     own = (F.col("mine") * 2 + (F.col("mine") == F.col("other")).cast("int")).cast("int")
-    return mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in rows.columns if c not in ("meet", "own")], own.alias("own"))
+    split = mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in rows.columns if c not in ("meet", "own")], own.alias("own"))
+    return rows.join(side, "meet", "left_anti").unionByName(split), total - copies + sent
 
 
 PAIRS = "later long, later_doc long, later_line int, earlier long, earlier_doc long, earlier_line int, more boolean, meet long"
@@ -471,16 +484,17 @@ def matched_nodes(texts: DataFrame, rarity: np.ndarray, total: int) -> DataFrame
         both = close.distinct().join(side("earlier", ("words", "b")), "earlier").join(side("later", ("words", "a"), "check"), "later")
         return both.mapInArrow(verify, "node long, check int, good boolean").where("good").select("node", "check").distinct()
 
-    met = common_meetings(common)
+    met, many = common_meetings(common)
+    meetings = parts_for(many, TASK_ROWS)
     first = usual.repartition(tasks, "bucket").mapInArrow(lambda it: propose_runs(it, FIRST), PAIRS)
-    pairs = materialise(first.unionByName(met.repartition("meet").mapInArrow(lambda it: propose_rows(it, FIRST), PAIRS)), "line-pairs")
+    pairs = materialise(first.unionByName(met.repartition(meetings, "meet").mapInArrow(lambda it: propose_rows(it, FIRST), PAIRS)), "line-pairs")
     good = materialise(settle(pairs), "line-matches")
     unsettled = pairs.where("more").select(F.col("later").alias("node"), "meet").distinct()
     open_lines = materialise(unsettled.join(good.select("node").distinct(), "node", "left_anti"), "open-lines")
     if open_lines.isEmpty():
         return good
     chosen, meets = (spark.sparkContext.broadcast(_bitmap(open_lines, c)) for c in ("node", "meet"))
-    again = unpacked(usual, meets).unionByName(met).repartition(tasks, "meet")
+    again = unpacked(usual, meets).unionByName(met).repartition(tasks + meetings, "meet")
     second = materialise(again.mapInArrow(lambda it: propose_rows(it, LAST, chosen.value), PAIRS), "line-pairs")
     return good.unionByName(settle(second)).distinct()
 
