@@ -34,7 +34,7 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
 
 
 def _all() -> None:
-    from threadloom import registry_annotation, registry_corpus, registry_inference  # noqa: F401, PLC0415 - they register their queries here
+    from threadloom import registry_annotation, registry_corpus, registry_inference, registry_structure  # noqa: F401, PLC0415 - they register their queries here
 
 
 def queries() -> dict[str, Query]:
