@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import boxed, documents, field, forget, materialise, parts_for
+from threadloom.llm.common import boxed, documents, field, forget, give_back, materialise, parts_for
 from threadloom.llm.hashing import BASE, distinct, line_words, mix
 
 THRESHOLD = 0.8
@@ -383,6 +383,8 @@ def propose_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.R
     held = [_records(b) for b in batches]
     if held:
         yield from propose({c: np.concatenate([h[c] for h in held]) for c in held[0]}, limit)
+    held.clear()
+    give_back()
 
 
 def propose_rows(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -390,6 +392,9 @@ def propose_rows(batches: Iterator[pa.RecordBatch], limit: int, only: np.ndarray
     if parts:
         table = pa.concat_tables(parts)
         yield from propose({c.split()[0]: np.asarray(table[c.split()[0]]) for c in MEETING.split(", ")}, limit, only)
+        del table
+    parts.clear()
+    give_back()
 
 
 def _in_bitmap(nodes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import boxed, documents, field, materialise, parts_for
+from threadloom.llm.common import boxed, documents, field, forget, give_back, materialise, parts_for, thrifty
 from threadloom.llm.hashing import BASE, distinct, inside, mix, sequence_keys, word_keys
 from threadloom.plans.fixpoint import connected_components
 
@@ -93,6 +93,7 @@ def _lower(column: pa.Array) -> list[bytes]:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
@@ -225,6 +226,7 @@ def _candidate_sets(texts: DataFrame, bitmap) -> DataFrame:
     """``node`` and sorted shingles of the documents whose class may be a candidate, each class once a batch."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 found: dict[int, bytes] = {}
@@ -273,7 +275,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     tiled = rows.mapInArrow(_tiles, "node long, component long, weight long, signature binary, shingles binary, i long, j long, side int")
     bins = parts_for(dealt, BIN_ROWS)
     own_bin = F.pmod(F.xxhash64("component", "i", "j"), F.lit(bins)).cast("int")
-    links = materialise(tiled.withColumn("bin", own_bin).groupBy("bin").applyInArrow(compare_bin, "node long, other long, links long"), "links")
+    links = materialise(tiled.withColumn("bin", own_bin).groupBy("bin").applyInArrow(thrifty(compare_bin), "node long, other long, links long"), "links")
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = classes.join(groups, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "weight", "least")
