@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import stats
-from threadloom.operators import communities, rewiring, topics
+from threadloom.operators import communities, contrasts, rewiring, topics
 from threadloom.registry import _drained, _event_stream, nation_edges, query, r9, t
-from threadloom.registry_inference import trade
+from threadloom.registry_inference import key_sql, trade
 from threadloom.streaming import threads
 
 # Communities
@@ -92,3 +92,27 @@ def last_view_before(spark, d):
 def stream_last_view_before(spark, d):
     """The same over a stream, for the purchases that the watermark, a day behind the last event, has passed."""
     return _drained(spark, threads.last_of_handle_stream(_event_stream(spark, d), "user_id", "event_type", F.when(F.col("event_type") == "purchase", "view"), "ts", "event_id", "1 day"), "append")
+
+
+# Contrasts
+
+_UNITS = """b AS (SELECT l_suppkey AS c, l_returnflag AS e, l_suppkey % 2 = 0 AS f, [l_quantity, 1 + 100 * l_discount, 1 + 100 * l_tax] AS p, [day(l_shipdate), month(l_shipdate), l_linenumber]::DOUBLE[] AS q FROM lineitem),
+a AS (SELECT c, e, f, 1 - list_sum(list_transform(list_zip(list_transform(p, lambda x: x / list_sum(p)), list_transform(q, lambda x: x / list_sum(q))), lambda z: z[1] * log2(2 * z[1] / (z[1] + z[2])) + z[2] * log2(2 * z[2] / (z[1] + z[2])))) / 2 AS y FROM b),
+cell AS (SELECT c, f, e, count(*)::DOUBLE AS n, sum(y) AS y FROM a GROUP BY ALL)"""
+_CONTRAST = "SELECT r, sum(y1 - n1 * y / n) / sum(n1 - n1 * n1 / n) AS d FROM (SELECT r, e, sum(n) AS n, sum(y) AS y, sum(CASE WHEN f THEN n ELSE 0 END) AS n1, sum(CASE WHEN f THEN y ELSE 0 END) AS y1 FROM {} GROUP BY ALL) GROUP BY r"
+
+
+@query(f"""WITH {_UNITS}, o AS ({_CONTRAST.format('(SELECT 0 AS r, * FROM cell)')}),
+k AS (SELECT *, count(*) FILTER (WHERE f) OVER (PARTITION BY sg) AS many, row_number() OVER (PARTITION BY f ORDER BY c) - 1 AS place, count(*) OVER (PARTITION BY f) AS m FROM (SELECT c, f, list(e ORDER BY e) AS sg FROM cell GROUP BY c, f)),
+p AS (SELECT r, c, row_number() OVER (PARTITION BY r, sg ORDER BY {key_sql("'p'", 'r', 'c')}, c) <= many AS f FROM k, range(1, {contrasts.REPLICATES + 1}) t(r)), n AS ({_CONTRAST.format('(SELECT r, p.f, e, n, y FROM p JOIN cell USING (c))')}),
+s AS (SELECT r, f, {key_sql("'d'", '0', 'r', 'f::INT', 'place')} % m AS place FROM k, range(1, {contrasts.REPLICATES + 1}) t(r)), g AS ({_CONTRAST.format('(SELECT r, s.f, e, n, y FROM s JOIN k USING (f, place) JOIN cell USING (c))')})
+SELECT round(any_value(o.d), 9) AS observed, round((1 + count(*) FILTER (WHERE abs(n.d) >= abs(o.d))) / {contrasts.REPLICATES + 1}.0e0, 9) AS p, (SELECT round(quantile_cont(d, 0.025), 9) FROM g) AS low, (SELECT round(quantile_cont(d, 0.5), 9) FROM g) AS median, (SELECT round(quantile_cont(d, 0.975), 9) FROM g) AS high,
+(SELECT count(*) FROM k) AS channels, (SELECT count(*) FROM lineitem) AS units FROM n, o""")
+def alignment_contrast(spark, d):
+    """Whether two kinds of supplier differ in how well two profiles of their lines agree, return flags held fixed."""
+    x = t(spark, d, "lineitem").select(
+        "l_suppkey", "l_returnflag", F.array(F.col("l_quantity"), 1 + 100 * F.col("l_discount"), 1 + 100 * F.col("l_tax")).alias("p"),
+        F.array(F.dayofmonth("l_shipdate").cast("double"), F.month("l_shipdate").cast("double"), F.col("l_linenumber").cast("double")).alias("q"),
+    )
+    r = contrasts.contrast(x, "l_suppkey", "l_returnflag", F.col("l_suppkey") % 2 == 0, contrasts.alignment(F.col("p"), F.col("q")))
+    return r.withColumns({c: r9(c) for c in ("observed", "p", "low", "median", "high")})
