@@ -67,7 +67,8 @@ def test_copies_of_a_line_are_no_meetings(spark, monkeypatch):
     """A word whose rows are copies of few lines is neither split nor multiplied."""
     monkeypatch.setattr(line_dedup, "SPLIT_ROWS", 10)
     rows = [(7, 1 + k % 2, 3, 1000 - k, k % 5, 5, 0, 1) for k in range(500)] + [(8, k, 3, k, 0, 5, 0, 1) for k in range(25)] + [(9, 1, 3, 4, 0, 5, 0, 1), (9, 1, 3, 2, 1, 5, 0, 1)]
-    got, many = line_dedup.common_meetings(spark.createDataFrame(rows, line_dedup.MEETING).repartition(50))
+    table = spark.createDataFrame(rows, line_dedup.MEETING).repartition(50)
+    got, many = line_dedup.common_meetings(lambda keep=None: table)
     kept = got.collect()
     assert len(kept) == many == 2 + 25 * 3 + 2
     assert sorted((r.node, r.doc, r.line) for r in kept if r.node < 3 and r.doc > 400) == [(1, 502, 3), (2, 501, 4)]

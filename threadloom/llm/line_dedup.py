@@ -20,7 +20,7 @@ whatever their names, are ignored by the report and kept by the filter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -298,21 +298,24 @@ def unpacked(runs: DataFrame, keep=None) -> DataFrame:
     return runs.mapInArrow(emit, MEETING)
 
 
-def common_meetings(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of common words at the blocks where they meet, and how many there are.
+def common_meetings(rows: Callable[..., DataFrame]) -> tuple[DataFrame, int]:
+    """Rows of common words at the blocks where they meet, and how many there are; ``rows(keep)`` unpacks them, those of a bitmap of
+    meetings alone if there is one.
 
     A word with more than SPLIT_ROWS rows first keeps each distinct line once, at its earliest place (copies of a line are no pairs),
     and what still has more is cut into blocks of about SPLIT_ROWS.
     """
-    counted = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialise(counted.where(F.col("n") > SPLIT_ROWS).select("meet", "n"), "split-words")
-    many, copies = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
-    total = rows.count()
+    whole = rows()
+    counted = whole.groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counted.groupBy(F.when(F.col("n") > SPLIT_ROWS, F.col("meet")).alias("meet")).agg(F.sum("n").alias("n")), "split-words")  # the others in one row
+    hot = counts.where("meet is not null").select("meet")
+    total, copies, many = counts.agg(F.sum("n"), F.sum(F.when(F.col("meet").isNotNull(), F.col("n"))), F.count("meet")).first()
     if not many:
-        return rows, total
-    side = F.broadcast(hot.select("meet")) if many <= HOT_BOUND else hot.select("meet")
-    others = [c for c in rows.columns if c not in ("meet", "node", "doc", "line")]
-    earliest = rows.join(side, "meet", "left_semi").groupBy("meet", "node").agg(F.min(F.struct("doc", "line", *others)).alias("at")).select("meet", "node", "at.*").select(*rows.columns)
+        return whole, total or 0
+    side = F.broadcast(hot) if many <= HOT_BOUND else hot
+    keep = whole.sparkSession.sparkContext.broadcast(_bitmap(hot, "meet"))
+    others = [c for c in whole.columns if c not in ("meet", "node", "doc", "line")]
+    earliest = rows(keep).join(side, "meet", "left_semi").groupBy("meet", "node").agg(F.min(F.struct("doc", "line", *others)).alias("at")).select("meet", "node", "at.*").select(*whole.columns)
     once = materialise(earliest, "split-rows")
     ways = materialise(once.groupBy("meet").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).alias("ways"), F.count(F.lit(1)).alias("n")), "split-words")
     sent = ways.agg(F.sum(F.col("ways") * F.col("n"))).first()[0]
@@ -320,8 +323,8 @@ def common_meetings(rows: DataFrame) -> tuple[DataFrame, int]:
     mine = joined.withColumn("mine", F.pmod(F.xxhash64("node"), "ways")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
     block = F.xxhash64("meet", F.least("mine", "other"), F.greatest("mine", "other"))
     own = (F.col("mine") * 2 + (F.col("mine") == F.col("other")).cast("int")).cast("int")
-    split = mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in rows.columns if c not in ("meet", "own")], own.alias("own"))
-    return rows.join(side, "meet", "left_anti").unionByName(split), total - copies + sent
+    split = mine.withColumn("at", block).select(F.col("at").alias("meet"), *[c for c in whole.columns if c not in ("meet", "own")], own.alias("own"))
+    return whole.join(side, "meet", "left_anti").unionByName(split), total - copies + sent
 
 
 PAIRS = "later long, later_doc long, later_line int, earlier long, earlier_doc long, earlier_line int, more boolean, meet long"
@@ -480,7 +483,7 @@ def matched_nodes(texts: DataFrame, rarity: np.ndarray, total: int) -> DataFrame
     spark = texts.sparkSession
     tasks = parts_for(total, TASK_ROWS)
     runs = materialise(prefix_rows(texts, spark.sparkContext.broadcast(rarity), 8 * tasks), "line-prefixes", "zstd")  # several a task, for even tasks
-    usual, common = runs.where(F.col("bucket") != COMMON), unpacked(runs.where(F.col("bucket") == COMMON))
+    usual, common = runs.where(F.col("bucket") != COMMON), runs.where(F.col("bucket") == COMMON)
 
     def settle(pairs: DataFrame) -> DataFrame:
         lines = materialise(wanted_lines(texts, spark.sparkContext.broadcast(_places(pairs))), "line-words")
@@ -489,7 +492,7 @@ def matched_nodes(texts: DataFrame, rarity: np.ndarray, total: int) -> DataFrame
         both = close.distinct().join(side("earlier", ("words", "b")), "earlier").join(side("later", ("words", "a"), "check"), "later")
         return both.mapInArrow(verify, "node long, check int, good boolean").where("good").select("node", "check").distinct()
 
-    met, many = common_meetings(common)
+    met, many = common_meetings(lambda keep=None: unpacked(common, keep))
     meetings = parts_for(many, TASK_ROWS)
     first = usual.repartition(tasks, "bucket").mapInArrow(lambda it: propose_runs(it, FIRST), PAIRS)
     pairs = materialise(first.unionByName(met.repartition(meetings, "meet").mapInArrow(lambda it: propose_rows(it, FIRST), PAIRS)), "line-pairs")
