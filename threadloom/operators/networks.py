@@ -115,7 +115,7 @@ def betweenness(edges: DataFrame, a: str, b: str, parts: int = 32) -> DataFrame:
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != source:
                         total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node": list(total), "x": list(total.values())}).astype({"x": float})
+        yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "x": pd.Series(list(total.values()), dtype=float)})
 
     n = len(links)
     found = nodes.repartition(parts, "node").mapInPandas(search, f"node {dict(nodes.dtypes)['node']}, x double").groupBy("node").agg(F.sum("x").alias("x"))

@@ -356,10 +356,10 @@ def component_sizes(spark, d):
     return graph.component_sizes(co_edges(spark, d))
 
 
-@query("""SELECT conv_id * 100000 + turn AS node, CAST(turn AS INTEGER) AS depth FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)""")
+@query("""SELECT conv_id || ':' || turn AS node, CAST(turn AS INTEGER) AS depth FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)""")
 def thread_depth(spark, d):
     c = t(spark, d, "conversations")
-    e = c.where("turn > 0").select((F.col("conv_id") * 100_000 + F.col("turn") - 1).alias("p"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("c"))
+    e = c.where("turn > 0").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("p"), F.concat_ws(":", "conv_id", "turn").alias("c"))
     return graph.reach_levels(e, "p", "c").select("node", F.col("depth").cast("int").alias("depth"))
 
 

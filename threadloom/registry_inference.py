@@ -177,9 +177,9 @@ def structural_virality(spark, d):
 
 
 @query("""WITH p AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), q AS (SELECT *, (SELECT count(*) FROM p WHERE n > 1) AS m FROM p WHERE n > 1)
-SELECT conv_id * 1000 + turn AS node, turn * (n - 1 - turn) * 2.0e0 / ((m - 1.0e0) * (m - 2.0e0)) AS betweenness FROM q""")
+SELECT conv_id || ':' || turn AS node, turn * (n - 1 - turn) * 2.0e0 / ((m - 1.0e0) * (m - 2.0e0)) AS betweenness FROM q""")
 def thread_betweenness(spark, d):
-    c = t(spark, d, "conversations").where("turn > 0").select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("a"), (F.col("conv_id") * 1000 + F.col("turn")).alias("b"))
+    c = t(spark, d, "conversations").where("turn > 0").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("a"), F.concat_ws(":", "conv_id", "turn").alias("b"))
     return networks.betweenness(c, "a", "b")
 
 

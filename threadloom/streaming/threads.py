@@ -86,7 +86,7 @@ def last_of_handle_stream(rows: DataFrame, thread: str, handle: str, named: Colu
             if wakes:
                 state.setTimeoutTimestamp(max(now + 1, wakes[0]))
         if answers:
-            yield pd.DataFrame(answers, columns=["id", "target"]).astype({"target": "Int64"} if kind in ("bigint", "int") else {})
+            yield pd.DataFrame(answers, columns=["id", "target"]).astype({"target": "Int64"} if kind in ("bigint", "int") else {"id": object, "target": object})
 
     held = f"post_at array<long>, post_id array<{kind}>, asked_at array<long>, asked_id array<{kind}>"
     return sides.groupBy("thread", "who").applyInPandasWithState(step, f"id {kind}, target {kind}", held, "append", GroupStateTimeout.EventTimeTimeout)
