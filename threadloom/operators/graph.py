@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.plans.fixpoint import connected_components, fixpoint, saved
+from threadloom.operators import blocks
+from threadloom.plans.fixpoint import connected_components, discard, fixpoint, saved
 
 
 def actor_edges(edges: DataFrame, source: str, target: str, scope: list[str], day: str) -> DataFrame:
@@ -66,15 +67,16 @@ def pagerank(edges: DataFrame, source: str, target: str, weight: str, damping: f
 def birank(edges: DataFrame, left: str, right: str, weight: str, rounds: int = 20) -> DataFrame:
     """Alternating scores of a bipartite graph, each side from the other's previous scores, scaled to sum 1."""
     e = saved(edges.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.sum(weight).cast("double").alias("w")), "edges")
-    ends = saved(e.select(F.lit("left").alias("side"), F.col("l").alias("node"), F.col("r").alias("other"), "w").unionByName(e.select(F.lit("right").alias("side"), F.col("r").alias("node"), F.col("l").alias("other"), "w")), "ends")
-    scores = ends.select("side", "node").distinct().withColumn("score", F.lit(1.0))
-    is_left = F.col("side") == "left"
-    total = {"left": 1.0, "right": 1.0}
+    g = blocks.grid(e, "l", "r", "w")
+    scores, totals = saved(blocks.filled(g, "left", 1.0).unionByName(blocks.filled(g, "right", 1.0)), "scores"), {"left": 1.0, "right": 1.0}
     for _ in range(rounds):
-        seen = scores.select(F.when(is_left, "right").otherwise("left").alias("side"), F.col("node").alias("other"), (F.col("score") / F.when(is_left, total["left"]).otherwise(total["right"])).alias("seen"))
-        scores = saved(ends.join(seen, ["side", "other"]).groupBy("side", "node").agg(F.sum(F.col("w") * F.col("seen")).alias("score")), "scores")
-        total |= {side: t or 1.0 for side, t in scores.groupBy("side").agg(F.sum("score")).collect()}  # two rows
-    return scores.select("side", "node", (F.col("score") / F.when(is_left, total["left"]).otherwise(total["right"])).alias("score"))
+        last, scores = scores, saved(blocks.sums(g, scores, totals), "scores")
+        totals |= blocks.side_totals(scores)
+        discard(last)
+    total = F.when(F.col("side") == "left", totals["left"]).otherwise(totals["right"])
+    out = saved(blocks.listed(g, scores).select("side", "node", (F.col("value") / total).alias("score")), "scores")
+    g.cells.unpersist()
+    return out
 
 
 def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:
