@@ -177,3 +177,13 @@ def test_errors_are_raised(spark):
         populations.case_window(rows, F.col("at"), lap).collect()
     with pytest.raises(ValueError, match="needs host"):
         populations.robustness_filter(rows, "x", {"x": (["host"], F.lit(True))})
+
+
+def test_permutations_in_tasks_and_beyond_what_a_task_holds(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id AS k", "id % 7 AS s", "id % 3 = 0 AS l", "CAST((id * 37) % 101 AS double) AS y")
+    call = lambda: tuple(inference.stratified_permutation(rows, "k", ["s"], "l", "y", 20).first())
+    plan = inference.stratified_permutation(rows, "k", ["s"], "l", "y", 20)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Generate explode(sequence(1, 20" not in plan
+    held = call()
+    monkeypatch.setattr(inference, "HELD_ROWS", 42)
+    assert call() == pytest.approx(held)

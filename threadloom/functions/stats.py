@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,5 +44,11 @@ def stable_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def stable_keys(head: str, names: list[bytes]) -> np.ndarray:
+    """``stable_key`` of many rows in a task: of ``head`` and each name, the parts' bar in ``head``."""
+    start = head.encode()
+    return (np.frombuffer(b"".join([md5(start + x).digest() for x in names]), ">u8")[::2] >> 4).astype(np.int64)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))

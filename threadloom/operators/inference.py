@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.functions.stats import stable_key
+from threadloom.functions.stats import stable_key, stable_keys
 
 
 def hashed_order(*parts: Column) -> Column:
@@ -40,18 +42,52 @@ def bootstrap_p(rows: DataFrame, unit: str, y: Column, replicates: int, seed: st
     return means.agg(F.lit(observed).alias("observed"), ((1 + F.count_if(F.col("m") >= 2 * observed)) / (replicates + 1)).alias("p"))
 
 
+#: Rows of a stratum up to which a task deals its labels out by itself, and about the rows of a group of strata; replicates are split CHUNKS ways.
+HELD_ROWS, GROUP_ROWS, CHUNKS = 2_000_000, 200_000, 8
+
+
+def _dealt_in_tasks(at: DataFrame, stratum: list[str], replicates: int, seed: str, groups: int) -> DataFrame:
+    """``replicate`` and the sums and counts of ``y`` by dealt label, of strata that a task can hold: only sums leave it."""
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(code=rows.groupby(stratum, dropna=False).ngroup()).sort_values(["code", "k"])
+        code, names, y = rows["code"].to_numpy(), [x.encode() for x in rows["name"]], rows["y"].to_numpy(float)
+        one, other = (rows["label"] == True).to_numpy(bool), (rows["label"] == False).to_numpy(bool)  # noqa: E712 - null is neither
+        out = []
+        for r in range(rows["chunk"].iloc[0] + 1, replicates + 1, CHUNKS):
+            given = y[np.lexsort((stable_keys(f"{seed}|{r}|", names), code))]
+            known = ~np.isnan(given)
+            yes, no = given[one & known], given[other & known]
+            out.append((r, yes.sum(), len(yes), no.sum(), len(no)))
+        return pd.DataFrame(out, columns=["replicate", "s1", "n1", "s0", "n0"])
+
+    part = F.pmod(F.xxhash64(*stratum), F.lit(groups)).alias("part")
+    copies = at.select(part, *stratum, "k", "name", "label", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    return copies.groupBy("part", "chunk").applyInPandas(deal, "replicate int, s1 double, n1 long, s0 double, n0 long")
+
+
 def stratified_permutation(rows: DataFrame, key: str, stratum: list[str], label: str, y: str, replicates: int, seed: str = "s") -> DataFrame:
     """Observed difference of the label's means, and the share of permutations within strata that reach it.
 
     A permutation deals the stratum's labels out by the order of a hash: row k of the identity order takes the label of row k of the
-    hashed order. A stratum is one window group a replicate, so groups stay as small as strata.
+    hashed order. Strata of up to HELD_ROWS rows are dealt in tasks, from which only sums come; a larger one is sorted by Spark, a window
+    group a replicate, and meets its labels in a join that is never broadcast.
     """
     base = rows.select(key, *stratum, label, F.col(y).alias("y"))
-    at = base.withColumn("k", F.row_number().over(Window.partitionBy(*stratum).orderBy(key)))
-    copies = at.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    dealt = copies.withColumn("place", F.row_number().over(Window.partitionBy("replicate", *stratum).orderBy(stable_key(F.lit(seed), F.col("replicate"), F.col(key)), key)))
-    labels = at.select(*stratum, F.col("k").alias("place"), F.col(label).alias("given"))
-    null = dealt.join(labels, [*stratum, "place"]).groupBy("replicate").agg((F.avg(F.when(F.col("given"), F.col("y"))) - F.avg(F.when(~F.col("given"), F.col("y")))).alias("d"))
+    own = Window.partitionBy(*stratum)
+    at = base.select(*stratum, F.col(key).alias("key"), F.col(key).cast("string").alias("name"), F.col(label).alias("label"), "y", F.row_number().over(own.orderBy(key)).alias("k"), F.count(F.lit(1)).over(own).alias("rows"))
+    sizes = base.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
+    many, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    sums = _dealt_in_tasks(at.where(F.col("rows") <= HELD_ROWS), stratum, replicates, seed, max(1, -(-many // GROUP_ROWS)))
+    if largest > HELD_ROWS:
+        wide = at.where(F.col("rows") > HELD_ROWS)
+        copies = wide.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        dealt = copies.withColumn("place", F.row_number().over(Window.partitionBy("replicate", *stratum).orderBy(stable_key(F.lit(seed), F.col("replicate"), F.col("key")), "key"))).drop("label")
+        labels = wide.select(*stratum, F.col("k").alias("place"), F.col("label").alias("given")).hint("merge")
+        yes, no = F.when(F.col("given"), F.col("y")), F.when(~F.col("given"), F.col("y"))
+        sums = sums.unionByName(dealt.join(labels, [*stratum, "place"]).groupBy("replicate").agg(F.sum(yes).alias("s1"), F.count(yes).alias("n1"), F.sum(no).alias("s0"), F.count(no).alias("n0")))
+    mean = lambda k: F.try_divide(F.sum(f"s{k}"), F.sum(f"n{k}"))
+    null = sums.groupBy("replicate").agg((mean(1) - mean(0)).alias("d"))
     seen = base.agg((F.avg(F.when(F.col(label), F.col("y"))) - F.avg(F.when(~F.col(label), F.col("y")))).alias("observed"))
     return null.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((1 + F.count_if(F.col("d") >= F.col("observed"))) / (replicates + 1)).alias("p"), F.median("d").alias("null_median"))  # one row
 
@@ -136,9 +172,6 @@ def mahalanobis_caliper(rows: DataFrame, key: str, case: str, broker: Column, co
 
     Greedy matching depends on order, so each case is one group; candidates come from both axes' standardised values.
     """
-    import numpy as np
-    import pandas as pd
-
     w = Window.partitionBy(case)
     z = lambda c: (F.log1p(c) - F.avg(F.log1p(c)).over(w)) / F.stddev_pop(F.log1p(c)).over(w)
     scored = rows.withColumns({"zx": z(x), "zy": z(y)}).select(key, case, broker.alias("broker"), control.alias("control"), "zx", "zy")
