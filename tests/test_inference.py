@@ -187,3 +187,6 @@ def test_permutations_in_tasks_and_beyond_what_a_task_holds(spark, monkeypatch):
     held = call()
     monkeypatch.setattr(inference, "HELD_ROWS", 42)
     assert call() == pytest.approx(held)
+    units = spark.range(200).selectExpr("id % 9 AS m", "id AS u", "id < 9 AS t", "CAST((id * 37) % 101 AS double) AS y")
+    plan = inference.matched_set_permutation(units, "m", "u", "t", "y", 20)._jdf.queryExecution().toString()
+    assert "row_number" not in plan and "min_by" in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,9 +100,23 @@ def matched_set_permutation(sets: DataFrame, matched: str, unit: str, treated: s
     rows = sets.select(matched, unit, treated, F.col(y).alias("y")).withColumn("many", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("y").over(w))
     gap = lambda own: F.col(own) - (F.col("total") - F.col(own)) / (F.col("many") - 1)
     seen = rows.where(F.col(treated)).agg(F.avg(gap("y")).alias("observed"))
-    copies = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    chosen = copies.withColumn("r", F.row_number().over(Window.partitionBy("replicate", matched).orderBy(stable_key(F.lit(seed), F.col("replicate"), F.col(unit)), unit))).where("r = 1")
-    null = chosen.groupBy("replicate").agg(F.avg(gap("y")).alias("d"))
+
+    def firsts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of a batch, the first unit of each set in each replicate."""
+        for part in parts:
+            for chunk, own in part.sort_values("unit").groupby("chunk"):
+                code, names = pd.factorize(own["set"])[0], [x.encode() for x in own["name"]]
+                for r in range(chunk + 1, replicates + 1, CHUNKS):
+                    h = stable_keys(f"{seed}|{r}|", names)
+                    order = np.lexsort((h, code))
+                    at = order[np.flatnonzero(np.diff(code[order], prepend=-1))]
+                    yield own.iloc[at].assign(replicate=r, h=h[at])[["replicate", "set", "h", "unit", "gap"]]
+
+    kinds = dict(rows.dtypes)
+    copies = rows.select(F.col(matched).alias("set"), F.col(unit).alias("unit"), F.col(unit).cast("string").alias("name"), gap("y").cast("double").alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    found = copies.repartition(8 * CHUNKS, "set", "chunk").mapInPandas(firsts, f"replicate int, set {kinds[matched]}, h long, unit {kinds[unit]}, gap double")
+    chosen = found.groupBy("replicate", "set").agg(F.min_by("gap", F.struct("h", "unit")).alias("gap"))  # a row a batch and set comes here
+    null = chosen.groupBy("replicate").agg(F.avg("gap").alias("d"))
     return null.crossJoin(F.broadcast(seen)).groupBy("observed").agg(((1 + F.count_if(F.col("d") >= F.col("observed"))) / (replicates + 1)).alias("p"))  # one row
 
 
