@@ -8,6 +8,19 @@ from pyspark.sql.window import Window
 
 #: Dimension rows that may be broadcast; larger calendars join by shuffled day buckets.
 CALENDAR_BOUND = 10_000
+#: Rows a task of a spread table, about.
+ROWS_A_TASK = 500_000
+
+
+def parts_of(rows: DataFrame, each: int | None = None) -> int:
+    """How many tasks hold ``rows`` at about ``each`` a task; their count comes from the files' footers if ``rows`` is a plain scan."""
+    return max(1, -(-rows.count() // (each or ROWS_A_TASK)))
+
+
+def spread(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over ``parts`` tasks; as they are if the session's own number of shuffle partitions is no less."""
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys) if parts > own else rows
 
 
 def small(dim: DataFrame, bound: int = CALENDAR_BOUND) -> DataFrame:

@@ -342,6 +342,18 @@ def frame_transitions(spark, d):
     return n.select("source", "target", "n", r9(F.col("n") / F.sum("n").over(Window.partitionBy("source"))).alias("row_share"), r9(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("overall_share"))
 
 
+def trade_weights(spark, d):
+    """``a`` (customer), ``b`` (supplier), ``weight`` (lines) and ``containers`` (orders) of each pair that trades. An order's lines shrink to a
+    row a supplier where they meet the order, so no set of orders is kept; tables are spread over tasks by their rows, so that a task
+    holds no more of a larger table."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    parts = joins.parts_of(t(spark, d, "lineitem"))
+    orders = joins.spread(t(spark, d, "orders").select("o_orderkey", "o_custkey"), parts, "o_orderkey")
+    met = orders.join(joins.spread(lines, parts, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    once = met.groupBy("o_orderkey", F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return joins.spread(once.select("a", "b", "n"), parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("containers"))
+
+
 _CO = "SELECT DISTINCT o_custkey AS a, -(l_suppkey + 1) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
@@ -414,7 +426,7 @@ def nation_participation(spark, d):
 
 @query("SELECT o_custkey, l_suppkey, count(*) AS weight, count(DISTINCT o_orderkey) AS containers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def bipartite_weights(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("weight"), F.countDistinct("o_orderkey").alias("containers"))
+    return trade_weights(spark, d).withColumnRenamed("a", "o_custkey").withColumnRenamed("b", "l_suppkey")
 
 
 # Labels, agreement, weighting
