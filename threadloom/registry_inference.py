@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions import stats
 from threadloom.operators import inference, measurement, networks, timeseries
-from threadloom.registry import day_events, pair_series, query, r9, t
+from threadloom.registry import day_events, pair_series, query, r9, t, trade_weights
 
 
 def key_sql(*parts: str) -> str:
@@ -159,8 +159,7 @@ _TRADE = "SELECT o_custkey AS a, -(l_suppkey + 1) AS b, count(*) AS w FROM order
 
 
 def trade(spark, d):
-    x = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return x.groupBy(F.col("o_custkey").alias("a"), (-(F.col("l_suppkey") + 1)).alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    return trade_weights(spark, d).select("a", (-(F.col("b") + 1)).alias("b"), F.col("weight").alias("w"))
 
 
 @query(f"""WITH e AS ({_TRADE}), v AS (SELECT a AS v, count(*) AS o, 0 AS i FROM e GROUP BY a UNION ALL SELECT b, 0, count(*) FROM e GROUP BY b)
