@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.operators import blocks
+from threadloom.operators.joins import parts_of, spread
 from threadloom.plans.fixpoint import connected_components, discard, fixpoint, saved
 
 
@@ -44,24 +45,24 @@ def reach_levels(edges: DataFrame, parent: str, child: str, limit: int = 10_000)
 def pagerank(edges: DataFrame, source: str, target: str, weight: str, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
     """Weighted PageRank by power iteration; dangling mass goes to all nodes alike. With a ``tolerance`` it ends once the ranks change
     by less in sum, and fails if ``rounds`` do not get there; without, it does ``rounds``."""
-    e = saved(edges.groupBy(F.col(source).alias("s"), F.col(target).alias("t")).agg(F.sum(weight).alias("w")), "edges")
-    out = e.groupBy("s").agg(F.sum("w").alias("total"))
-    steps = saved(e.join(out, "s").select("s", "t", (F.col("w") / F.col("total")).alias("p")), "steps")
-    nodes = saved(e.select(F.col("s").alias("node")).unionByName(e.select(F.col("t").alias("node"))).distinct().join(out.select(F.col("s").alias("node"), F.lit(True).alias("sends")), "node", "left"), "nodes")
-    n = nodes.count()
+    g, sends = step_grid(edges, source, target, weight)
+    n = g.sizes["left"]
     if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("node", "sends", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before"))
-    for k in range(rounds + 1):
-        idle, change = ranks.agg(F.sum(F.when(F.col("sends").isNull(), F.col("rank")).otherwise(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))).first()
-        if k == rounds or tolerance is not None and change < tolerance:
-            break
-        got = ranks.join(steps, ranks["node"] == steps["s"]).groupBy("t").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        new = ranks.join(got, ranks["node"] == got["t"], "left").select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)).alias("rank"), F.col("rank").alias("before"))
-        ranks = saved(new, "ranks")
+        return blocks.listed(g, blocks.filled(g, "left", 0.0)).select("node", F.col("value").alias("rank"))
+    ranks, change = blocks.walk(g, blocks.filled(g, "left", 1.0 / n), sends, damping, rounds, tolerance)
+    g.cells.unpersist()
     if tolerance is not None and not change < tolerance:
         raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
-    return ranks.select("node", "rank")
+    return saved(blocks.listed(g, ranks).select("node", F.col("value").alias("rank")), "ranks")
+
+
+def step_grid(edges: DataFrame, source: str, target: str, weight: str) -> tuple[blocks.Grid, DataFrame]:
+    """The grid of each edge's part of its source's weight, and a vector that is one for the sources."""
+    e = saved(edges.groupBy(F.col(source).alias("s"), F.col(target).alias("t")).agg(F.sum(weight).alias("w")), "edges")
+    parts, out = parts_of(e), e.groupBy("s").agg(F.sum("w").alias("total"))
+    steps = spread(e, parts, "s").join(spread(out, parts, "s").hint("merge"), "s").select("s", "t", (F.col("w") / F.col("total")).alias("p"))
+    g = blocks.grid(saved(steps, "steps"), "s", "t", "p", shared=True)
+    return g, blocks.placed(g, "left", out.select(F.col("s").alias("node"), F.lit(1.0).alias("value")))
 
 
 def birank(edges: DataFrame, left: str, right: str, weight: str, rounds: int = 20) -> DataFrame:
