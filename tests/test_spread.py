@@ -26,3 +26,10 @@ def test_orders_of_a_pair_are_counted_once(spark, tmp_path):
     spark.createDataFrame([(1, 5), (1, 5), (2, 5), (3, 5), (4, 5)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.queries()["bipartite_weights"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(7, 5, 3, 2), (8, 5, 1, 1)]
+
+
+def test_simhash_groups_digests_and_no_tokens(spark):
+    got = registry.queries()["simhash_near_duplicates"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning(digest" in line or "Exchange hashpartitioning(low" in line]
+    assert exchanged and all("digest" in line for line in exchanged) and "sum(CASE" not in plan

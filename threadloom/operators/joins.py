@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +15,8 @@ from pyspark.sql.window import Window
 CALENDAR_BOUND = 10_000
 #: Rows a task of a spread table, about.
 ROWS_A_TASK = 500_000
+#: Tokens whose votes are summed at a time.
+VOTES = 100_000
 
 
 def parts_of(rows: DataFrame, each: int | None = None) -> int:
@@ -68,14 +75,26 @@ def many_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return left.join(checked.drop("_n", "_ok"), key, how)
 
 
-def simhash_bands(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """64-bit SimHash as four 16-bit bands; a bit is set iff its sum of votes is positive."""
-    votes = rows.select(key, F.explode(tokens).alias("t")).select(key, F.md5("t").alias("h"))
-    halves = votes.select(key, *[F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"p{i}") for i in range(2)])
-    vote = lambda b: F.sum(F.when(F.shiftright(f"p{b // 32}", b % 32).bitwiseAND(1) == 1, 1).otherwise(-1))
-    summed = halves.groupBy(key).agg(*[vote(b).alias(f"s{b}") for b in range(64)])
-    band = lambda i: sum((F.when(F.col(f"s{16 * i + b}") > 0, 1 << b).otherwise(0) for b in range(16)), F.lit(0))
-    return summed.select(key, *[band(i).alias(f"b{i}") for i in range(4)])
+def simhash_bands(rows: DataFrame, *keys: str, tokens: str) -> DataFrame:
+    """``keys`` and the 64-bit SimHash of each row's tokens as four 16-bit bands; a bit is set iff its sum of votes is positive. A row's
+    votes are summed where the row is, so no token is shuffled."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch[tokens]
+            flat, cuts = words.flatten(), np.r_[0, np.cumsum(np.asarray(words.value_lengths().fill_null(0)))]
+            bands = np.zeros((batch.num_rows, 4), dtype=np.int32)
+            for i in range(batch.num_rows):
+                sums, n = np.zeros(64, dtype=np.int64), int(cuts[i + 1] - cuts[i])
+                for lo in range(int(cuts[i]), int(cuts[i + 1]), VOTES):
+                    own = flat.slice(lo, min(VOTES, int(cuts[i + 1]) - lo)).to_pylist()
+                    digests = np.frombuffer(b"".join(md5(w.encode()).digest()[:8] for w in own), ">u4").reshape(-1, 2)
+                    sums += np.unpackbits(digests.astype("<u4").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                bands[i] = ((2 * sums > n).reshape(4, 16) << np.arange(16)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], *[pa.array(bands[:, i]) for i in range(4)]], names=[*keys, *[f"b{i}" for i in range(4)]])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, tokens).mapInArrow(vote, ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"b{i} int" for i in range(4)]]))
 
 
 def simhash_pairs(bands: DataFrame, key: str, within: int = 3) -> DataFrame:
@@ -83,8 +102,10 @@ def simhash_pairs(bands: DataFrame, key: str, within: int = 3) -> DataFrame:
     own = bands.select(key, *[f"b{i}" for i in range(4)], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("v")) for i in range(4)])).alias("band"))
     a, b = own.alias("a"), own.alias("b")
     gap = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
-    met = (F.col("a.band") == F.col("b.band")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (gap <= within)
-    return a.join(b, met).select(F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), gap.cast("int").alias("distance")).distinct()
+    # a pair that shares several bands is met in the first of them alone
+    shared = [F.when(F.col(f"a.b{i}") == F.col(f"b.b{i}"), i) for i in range(4)]
+    met = (F.col("a.band") == F.col("b.band")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (gap <= within) & (F.col("a.band.i") == F.coalesce(*shared))
+    return a.join(b, met).select(F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), gap.cast("int").alias("distance"))
 
 
 def matched_bins(rows: DataFrame, key: str, role: Column, stratum: list[str], ratio: int = 3, *, order: Column) -> DataFrame:

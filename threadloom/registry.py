@@ -210,9 +210,11 @@ p AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT AS p0, ('0x' || substr(h,
 s AS (SELECT doc_id, {_BITS} FROM p GROUP BY doc_id), n AS (SELECT doc_id, {_BANDS} FROM s)
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST({_GAP} AS INTEGER) AS distance FROM n a JOIN n b ON a.doc_id < b.doc_id WHERE {_GAP} <= 3""")
 def simhash_near_duplicates(spark, d):
-    first = t(spark, d, "documents").groupBy(F.lower("text").alias("low")).agg(F.min("doc_id").alias("doc_id"))
-    rows = first.select("doc_id", text.words(F.col("low")).alias("w")).where(F.size("w") >= 5)
-    return joins.simhash_pairs(joins.simhash_bands(rows, "doc_id", F.col("w")), "doc_id")
+    # equal texts have equal bands, so a text's digest stands for it; texts are dealt to tasks once, and never grouped or sorted
+    low = F.lower("text")
+    rows = t(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.sha2(low, 256).alias("digest"), text.words(low).alias("w")).where(F.size("w") >= 5)
+    first = joins.simhash_bands(rows, "doc_id", "digest", tokens="w").groupBy("digest").agg(F.min(F.struct("doc_id", *[f"b{i}" for i in range(4)])).alias("first"))
+    return joins.simhash_pairs(first.select("first.*"), "doc_id")
 
 
 @query(r"""
