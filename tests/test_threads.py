@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import registry_structure
 from threadloom.streaming import events, threads
 
 START = dt.datetime(2025, 12, 11, 10)
@@ -73,3 +74,13 @@ def test_stream_equals_table_over_cuts_and_a_restart(spark, tmp_path, cut, quiet
     passed = max(x[3] for x in rows) - dt.timedelta(minutes=5)
     due = {x[1] for x in rows if x[4] and x[3] < passed}
     assert len(early) < len(got) == len(due) and {x.id: x.target for x in got} == {i: want[i] for i in due}
+
+
+def test_only_views_are_kept_as_posts(spark, monkeypatch):
+    monkeypatch.setattr(registry_structure, "_event_stream", lambda spark, d: spark.read.parquet(f"{d}/events.parquet"))
+    monkeypatch.setattr(registry_structure, "_drained", lambda spark, shape, mode: shape)
+    monkeypatch.setattr(threads, "last_of_handle_stream", lambda rows, thread, handle, named, at, ident, late: threads._sides(rows, thread, handle, named, at, ident))
+    events_of = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("event_type").count().collect()
+    many = {r["event_type"]: r["count"] for r in events_of}
+    got = registry_structure.stream_last_view_before(spark, "/root/testdata/sf0.001").groupBy("who", "post").count().collect()
+    assert {(r["who"], r["post"]): r["count"] for r in got} == {("view", 1): many["view"], ("view", 0): many["purchase"]}

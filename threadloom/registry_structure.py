@@ -90,8 +90,10 @@ def last_view_before(spark, d):
 
 @query(f"SELECT id, target FROM ({_VIEWED}) WHERE event_type = 'purchase' AND date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)")
 def stream_last_view_before(spark, d):
-    """The same over a stream, for the purchases that the watermark, a day behind the last event, has passed."""
-    return _drained(spark, threads.last_of_handle_stream(_event_stream(spark, d), "user_id", "event_type", F.when(F.col("event_type") == "purchase", "view"), "ts", "event_id", "1 day"), "append")
+    """The same over a stream, for the purchases that the watermark, a day behind the last event, has passed. Only views can be named, so
+    other events are kept as posts of nobody: the stream has one group of state a user."""
+    rows = _event_stream(spark, d).withColumn("handle", F.when(F.col("event_type") == "view", "view"))
+    return _drained(spark, threads.last_of_handle_stream(rows, "user_id", "handle", F.when(F.col("event_type") == "purchase", "view"), "ts", "event_id", "1 day"), "append")
 
 
 # Contrasts
