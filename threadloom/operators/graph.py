@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.operators import blocks
 from threadloom.operators.joins import parts_of, spread
@@ -80,19 +79,26 @@ def birank(edges: DataFrame, left: str, right: str, weight: str, rounds: int = 2
     return out
 
 
-def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:
-    """k-core number of each node of a simple undirected graph: from the degrees, every node takes the h-index of its neighbours'
-    numbers until none changes. Numbers only fall, so an unchanged sum is the fixpoint; one round peels what takes many by degree."""
-    both = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    links = saved(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "core")
+def link_grid(edges: DataFrame, a: str, b: str) -> tuple[blocks.Grid, DataFrame, int]:
+    """The shared grid of both directions of a simple undirected graph's links, these links (``u``, ``v``), and how many they are."""
+    pairs = saved(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")), "pairs")
+    once = spread(pairs, parts_of(pairs), "u", "v").distinct()
+    links = saved(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    return blocks.grid(links.withColumn("w", F.lit(1.0)), "u", "v", "w", shared=True), links, links.count()
 
-    def h_index(cores: DataFrame) -> DataFrame:
-        near = links.join(cores.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
-        above = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
-        return near.select("u", F.least("core", above).alias("h")).groupBy(F.col("u").alias("node")).agg(F.max("h").alias("core"))
 
-    degrees = saved(links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")), "round")
-    return fixpoint(degrees, h_index, lambda cores: tuple(cores.agg(F.sum("core")).first()), rounds).select("node", F.col("core").cast("int").alias("core"))
+def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:
+    """k-core number of each node of a simple undirected graph: from the degrees, every node takes the h-index of its neighbours'
+    numbers until none changes. Numbers only fall, so an unchanged sum is the fixpoint; one round peels what takes many by degree.
+    Links stay in the grid of cells, only numbers and their counts are shuffled."""
+    g, _, many = link_grid(edges, a, b)
+    numbers = blocks.filled(g, "left", 1.0)
+    if many:
+        degrees = saved(blocks.own_side(blocks.sums(g, numbers, {"left": 1.0})), "round")
+        numbers = fixpoint(degrees, lambda now: blocks.h_indices(g, now), lambda now: tuple(now.agg(F.sum("total")).first()), rounds)
+    out = saved(blocks.listed(g, numbers).select("node", F.col("value").cast("int").alias("core")), "cores")
+    g.cells.unpersist()
+    return out
 
 
 def modularity(edges: DataFrame, source: str, target: str, weight: str, member: DataFrame, resolution: float = 1.0) -> DataFrame:
