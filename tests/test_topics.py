@@ -112,3 +112,48 @@ def test_alignment_and_scores():
 def test_no_documents(docs):
     state, chosen, _ = topics.topic_models(docs.limit(0), "doc", "body", counts=COUNTS, seeds=SEEDS)
     assert state.count() == 0 and chosen.table == []
+
+
+def test_words_of_odd_texts(spark):
+    texts = ["", " ", "a", "Été à 3e", "x  yy\u00a0zz_1", "\n", "漢字 漢", "--ab--", "tail ", None, "ab\tcd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).sortWithinPartitions("i").select(topics.plain(topics.F.col("t")).alias("text")).toArrow()
+    want = [[w for w in re.findall(r"\w+", (t or "").lower()) if len(w) >= 2] for t in texts]
+    for step in (1, 8, 1 << 20):
+        got = [[] for _ in texts]
+        for batch in rows.to_batches():
+            for at, doc, words in topics._word_pieces(batch, step):
+                for d, w in zip(doc.tolist(), words.to_pylist(), strict=True):
+                    got[at.start + d].append(w)
+        assert got == want
+
+
+def test_rare_pairs_never_leave_a_task(docs, texts):
+    n = docs.count()
+    some = {r.term for r in topics.candidates(docs, "body", n, 5, 0.98, 10).collect()}
+    named = [r.term for r in topics.vocabulary(docs, "body", most=10).collect()]
+    tf, df = Counter(), Counter()
+    for t in texts:
+        w = [x for x in re.findall(r"\w+", t.lower()) if len(x) >= 2]
+        own = [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]
+        tf.update(own)
+        df.update(set(own))
+    assert named == sorted(sorted((t for t in df if 5 <= df[t] <= 0.98 * n), key=lambda t: (-tf[t], t))[:10])
+    assert set(named) <= some and len(some) < len(tf) / 4
+    assert topics.candidates(docs, "body", n, 5, 0.98, 5000) is None  # too few sure terms: all are counted
+
+
+def test_passes_move_blocks_and_no_documents(spark, docs):
+    terms = topics.vocabulary(docs, "body")
+    entries = topics.weighted_terms(docs, "doc", "body", terms)
+    state = topics.saved(topics.blocked(entries.coalesce(1), "doc", terms.count(), 6), "blocks")
+    assert topics._blocks(state).count() == 1
+    held = {r.doc: (r["at"], r.x) for r in topics.documents_of(topics._blocks(state), "doc", terms.count()).collect()}
+    assert held == {r.doc: (r["at"], r.x) for r in entries.collect()}
+
+
+def test_rows_of_a_key_are_one_document(spark, docs):
+    terms = topics.vocabulary(docs, "body")
+    word = terms.first()["term"]
+    two = spark.createDataFrame([(1, word), (1, f"{word} {word}"), (None, word)], "doc long, body string")
+    got = {r.doc: (r["at"], r.x) for r in topics.weighted_terms(two, "doc", "body", terms.where(topics.F.col("term") == word).withColumn("at", topics.F.lit(0))).collect()}
+    assert got == {1: ([0], [1.0]), None: ([0], [1.0])}

@@ -1,10 +1,10 @@
 """Topics: non-negative factors of a sparse term table, for a grid of topic counts and seeds at once.
 
-Documents stay rows: the numbers and weights of their terms, and beside them their loadings on all topics of all models. A pass over
-them multiplies the loadings, with the topics held, and sums what the topics need (loadings by terms, loadings by loadings); the
-topics, at most MOST_TERMS wide, are then multiplied on the driver and sent round again. Both multiplications repeat INNER times and
-never raise the loss, and a model's passes end once its loss falls by less than TOLERANCE of the first. So documents are read once a
-pass whatever the number of models, and only sums of a fixed size leave the tasks.
+Documents lie in blocks of about STEP term entries: the numbers and weights of their terms, and beside them their loadings on all topics
+of all models. A pass over the blocks multiplies the loadings, with the topics held, and sums what the topics need (loadings by terms,
+loadings by loadings); the topics, at most MOST_TERMS wide, are then multiplied on the driver and sent round again. Both multiplications
+repeat INNER times and never raise the loss; the passes end once no model's loss falls by TOLERANCE of its first. So documents are read
+once a pass whatever the number of models, and only sums of a fixed size leave the tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.annotation import assignment
+from threadloom.operators.joins import parts_of
 from threadloom.plans.fixpoint import discard, saved
 
 #: The grid, the terms that count, and what a model is chosen by.
@@ -26,53 +28,174 @@ TOPIC_COUNTS, SEEDS = (6, 8, 10), (17, 29, 41)
 LEAST_DOCUMENTS, LARGEST_SHARE, MOST_TERMS, TOP_TERMS, COHERENCE_TERMS = 5, 0.98, 5_000, 15, 10
 SCORE = {"stability": 0.40, "coherence": 0.25, "diversity": 0.20, "error": 0.15}
 INNER, TOLERANCE = 10, 1e-4
-#: Term entries that a step multiplies at a time.
-STEP = 60_000
+#: Term entries of a block, which a step multiplies at a time; one longer document is a block.
+STEP = 600_000
+#: A term's occurrences in one count from which that count names it at once; and terms of which the rest is counted by a broadcast.
+NAMED, CANDIDATES = 5, 500_000
+#: Bytes of text whose words are counted at a time, and documents that a task of a pass takes, about.
+COUNT_STEP, TASK_DOCUMENTS = 6 << 20, 20_000
+#: Terms whose sums are added up in one row.
+SUM_TERMS = 128
 TINY = 1e-12
 
 
-def term_list(text: Column) -> Column:
-    """Lower-case words of two characters or more, and pairs of neighbours."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
-    pair = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pair(w))), 1)
+def plain(text: Column) -> Column:
+    """Lower-case text in which a blank stands for each run of anything but letters, digits and the low line; plain text stays."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")
 
 
-def vocabulary(docs: DataFrame, text: str, least: int = LEAST_DOCUMENTS, share: float = LARGEST_SHARE, most: int = MOST_TERMS) -> DataFrame:
-    """``term``, ``at`` (its number) and ``idf`` of the most frequent terms that are in enough documents, but not in nearly all."""
+def _word_pieces(batch: pa.RecordBatch, step: int) -> Iterator[tuple[slice, np.ndarray, pa.Array]]:
+    """Documents in steps of about ``step`` bytes of their plain ``text``: which, each word's document and the words of two characters or
+    more; a document's terms are these and the pairs of neighbours."""
+    text = batch["text"]
+    wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    ends = np.frombuffer(text.buffers()[1], wide)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    lo = 0
+    while lo < len(text):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + step, "right")) - 1)
+        if ends[hi] > ends[lo]:
+            data = np.frombuffer(text.buffers()[2], np.uint8)[ends[lo] : ends[hi]]
+            letter = data != 32
+            first = ends[lo:hi][ends[lo:hi] < ends[lo + 1 : hi + 1]] - ends[lo]  # texts that aren't empty
+            fresh = letter.copy()
+            fresh[1:] &= ~letter[:-1]
+            fresh[first] = letter[first]
+            head = np.flatnonzero(fresh)
+            before = np.cumsum(letter, dtype=np.int32)
+            offsets = np.r_[before[head] - 1, before[-1]].astype(np.int32)
+            words = pa.Array.from_buffers(pa.string(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
+            doc = np.searchsorted(ends[lo + 1 : hi + 1] - ends[lo], head, "right")
+            long = pc.greater_equal(pc.utf8_length(words), 2)
+            if pc.any(long).as_py():
+                yield slice(lo, hi), doc[np.asarray(long)], words.filter(long)
+        lo = hi
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term``, ``tf`` and ``df`` over some documents at a time."""
+    for batch in batches:
+        for rows, doc, words in _word_pieces(batch, COUNT_STEP):
+            coded = words.dictionary_encode()
+            names, word = coded.dictionary, np.asarray(coded.indices).astype(np.uint64)
+            bits, shift = np.uint64(len(names).bit_length()), np.uint64((rows.stop - rows.start).bit_length())
+            near = np.flatnonzero(doc[1:] == doc[:-1])
+            code = np.r_[word, ((word[near] + np.uint64(1)) << bits) | word[near + 1]]
+            at = np.sort((code << shift) | np.r_[doc, doc[near]].astype(np.uint64))
+            code = at >> shift
+            head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            fresh = np.r_[True, at[1:] != at[:-1]]
+            a, b = (code[head] >> bits).astype(np.int64), names.take(pa.array((code[head] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)))
+            pair = a > 0
+            both = pc.binary_join_element_wise(names.take(pa.array(a[pair] - 1)), b.filter(pa.array(pair)), " ")
+            terms = pa.concat_arrays([b.filter(pa.array(~pair)), both])
+            tf, df = np.diff(np.r_[head, len(code)]), np.add.reduceat(fresh.astype(np.int64), head)
+            yield pa.RecordBatch.from_arrays([terms] + [pa.array(np.r_[c[~pair], c[pair]].astype(np.int64)) for c in (tf, df)], names=["term", "tf", "df"])
+
+
+def candidates(docs: DataFrame, text: str, n: int, least: int, share: float, most: int, made: bool = False) -> DataFrame | None:
+    """Terms among which all of the vocabulary are; None if that can't be told from the terms that each count names.
+
+    A count names the terms that it meets NAMED times or more, so what it doesn't name adds less than that. ``most`` terms that surely
+    count have at least ``floor`` occurrences, and a term goes if it can't reach that. Most pairs of words are rare and never leave a task.
+    """
+    few = docs.select((F.col(text) if made else plain(F.col(text))).alias("text")).mapInArrow(lambda it: _named(_count_terms(it)), "term string, tf long, df long")
+    named = saved(few.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.count(F.lit(1)).alias("counts")), "named")
+    counts = named.where("term is null").agg(F.sum("counts")).first()[0] or 0
+    spare = (counts - F.col("counts")) * (NAMED - 1)
+    sure = named.where(F.col("term").isNotNull() & (F.col("df") >= least) & (F.col("df") + spare <= share * n))
+    top = sure.orderBy(F.desc("tf")).limit(most).agg(F.min("tf"), F.count("tf")).first()
+    floor = top[0] if most and top[1] == most else 0
+    out = named.where(F.col("term").isNotNull() & (F.col("tf") + spare >= floor)).select("term")
+    return out if floor > counts * (NAMED - 1) and out.count() <= CANDIDATES else None
+
+
+def _named(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each count that it names, and a row without a term for the count itself."""
+    for batch in found:
+        yield batch.filter(pc.greater_equal(batch["tf"], NAMED))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([0]), pa.array([0])], names=["term", "tf", "df"])
+
+
+def vocabulary(docs: DataFrame, text: str, least: int = LEAST_DOCUMENTS, share: float = LARGEST_SHARE, most: int = MOST_TERMS, made: bool = False) -> DataFrame:
+    """``term``, ``at`` (its number) and ``idf`` of the most frequent terms that are in enough documents, but not in nearly all; texts may be
+    made plain already."""
     n = docs.count()
-    terms = docs.select(term_list(F.col(text)).alias("terms"))
-    once = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"))))
-    counted = terms.select(F.explode(once).alias("x")).select("x.*").groupBy("term").agg(F.sum(1 - F.col("df")).alias("tf"), F.sum("df").alias("df")).where((F.col("df") >= least) & (F.col("df") <= share * n))
+    parts = docs.select((F.col(text) if made else plain(F.col(text))).alias("text")).mapInArrow(_count_terms, "term string, tf long, df long")
+    some = candidates(docs, text, n, least, share, most, made)
+    if some is not None:
+        parts = parts.join(F.broadcast(some), "term", "left_semi")  # CANDIDATES rows
+    counted = parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where((F.col("df") >= least) & (F.col("df") <= share * n))
     rows = counted.orderBy(F.desc("tf"), "term").limit(most).select("term", "df").collect()  # ``most`` rows
     table = [(r["term"], i, float(np.log((1 + n) / (1 + r["df"])) + 1)) for i, r in enumerate(sorted(rows, key=lambda r: r["term"]))]
     return docs.sparkSession.createDataFrame(table, "term string, at int, idf double")
 
 
-def weighted_terms(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+def _flat_counts(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, terms and their counts, ascending, those of one term of one document summed."""
+    code = (doc.astype(np.int64) << 32) | at
+    order = np.argsort(code)
+    code = code[order]
+    head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    return code[head] >> 32, code[head] & 0xFFFFFFFF, np.add.reduceat(n[order], head) if len(head) else n
+
+
+def weighted_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, made: bool = False) -> DataFrame:
     """``key``, ``at`` and ``x``: the numbers and weights (1 + ln tf, times idf, scaled to length one) of each document's terms.
 
-    Documents without any of the terms are left out.
+    Documents without any of the terms are left out. Terms are counted where the text is; only their numbers and counts are dealt by key.
     """
-    hits = docs.select(key, F.explode(term_list(F.col(text))).alias("term")).join(F.broadcast(terms), "term")  # MOST_TERMS rows
-    counted = hits.groupBy(key).agg(F.collect_list("at").alias("all"), F.collect_list("idf").alias("idf"))
+    kind = dict(docs.dtypes)[key]
+    table = terms.orderBy("at").collect()  # MOST_TERMS rows
+    idf = np.array([r["idf"] for r in table])
+    known = sorted({w for r in table for w in r["term"].split(" ")})
+    number = {w: i for i, w in enumerate(known)}
+    single = np.full(len(known) + 1, -1)
+    pairs: list[tuple[int, int]] = []
+    for r in table:
+        own = [number[w] for w in r["term"].split(" ")]
+        if len(own) == 1:
+            single[own[0]] = r["at"]
+        else:
+            pairs.append((own[0] * len(known) + own[1], r["at"]))
+    pair_codes, pair_at = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2).T
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(known, pa.string())
+        for batch in batches:
+            for rows, doc, words in _word_pieces(batch, COUNT_STEP):
+                word = np.asarray(pc.index_in(words, value_set=values).fill_null(len(known))).astype(np.int64)
+                near = np.flatnonzero((doc[1:] == doc[:-1]) & (word[1:] < len(known)) & (word[:-1] < len(known)))
+                code = word[near] * len(known) + word[near + 1]
+                place = np.minimum(np.searchsorted(pair_codes, code), max(0, len(pair_codes) - 1))
+                hit = pair_codes[place] == code if len(pair_codes) else np.zeros(len(code), bool)
+                at = np.r_[single[word], pair_at[place[hit]]]
+                own = np.r_[doc, doc[near[hit]]][at >= 0]
+                own, at, n = _flat_counts(own, at[at >= 0], np.ones(len(own), np.int64))
+                size = np.bincount(own, minlength=rows.stop - rows.start)
+                some = pa.array(np.flatnonzero(size))
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(rows.start, len(size)).take(some), _cut(at, size[size > 0], pa.int32()), _cut(n, size[size > 0], pa.int32())], names=[key, "at", "n"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ats, xs = [], []
-            for at, idf in zip(batch["all"], batch["idf"], strict=True):
-                own, first, n = np.unique(np.asarray(at.values), return_index=True, return_counts=True)
-                x = (1 + np.log(n)) * np.asarray(idf.values)[first]
-                ats.append(own.astype(np.int32))
-                xs.append(x / np.sqrt((x * x).sum()))
-            yield pa.RecordBatch.from_arrays([batch[key], _lists(ats, pa.int32()), _lists(xs, pa.float64())], names=[key, "at", "x"])
+            if batch.num_rows:
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch["at"].offsets)))
+                doc, at, n = _flat_counts(doc, np.asarray(batch["at"].flatten()), np.asarray(batch["n"].flatten()))
+                x = (1 + np.log(n)) * idf[at]
+                size = np.bincount(doc, minlength=batch.num_rows)
+                x = x / np.sqrt(np.add.reduceat(x * x, np.cumsum(size) - size))[doc]
+                yield pa.RecordBatch.from_arrays([batch[key], _cut(at, size, pa.int32()), _cut(x, size, pa.float64())], names=[key, "at", "x"])
 
-    return counted.mapInArrow(weigh, f"{key} {dict(docs.dtypes)[key]}, at array<int>, x array<double>")
+    found = docs.select(F.col(key).alias("key"), (F.col(text) if made else plain(F.col(text))).alias("text")).mapInArrow(count, f"{key} {kind}, at array<int>, n array<int>")
+    dealt = found.repartition(_tasks(docs), key).groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("at", "n")])  # rows of a key are one document
+    return dealt.mapInArrow(weigh, f"{key} {kind}, at array<int>, x array<double>")
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    flat = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)), pa.array(flat, kind))
+def _tasks(docs: DataFrame) -> int:
+    return max(parts_of(docs, TASK_DOCUMENTS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _cut(flat: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat, kind))
 
 
 @dataclass(frozen=True)
@@ -117,94 +240,167 @@ def losses(models: Models, wx: np.ndarray, ww: np.ndarray, xx: float) -> np.ndar
     return np.array([xx - 2 * (wx[s] * models.h[s]).sum() + (ww[s, s] * hh[s, s]).sum() for s in models.slices])
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents in steps of about STEP entries: which, each entry's document, term and weight."""
-    sizes = np.diff(np.asarray(batch["at"].offsets))
-    at, x = np.asarray(batch["at"].flatten()), np.asarray(batch["x"].flatten())
+def _pieces(batch: pa.RecordBatch, step: int, name: str) -> Iterator[tuple[slice, np.ndarray, pa.Array]]:
+    """Documents in steps of about ``step`` items of their lists ``name``: which, each item's document and the items."""
+    sizes = np.diff(np.asarray(batch[name].offsets))
+    flat = batch[name].flatten()
     ends = np.cumsum(sizes)
     lo = 0
     while lo < len(sizes):
         base = ends[lo] - sizes[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, base + STEP, "right")))
-        yield slice(lo, hi), np.repeat(np.arange(hi - lo), sizes[lo:hi]), at[base : ends[hi - 1]], x[base : ends[hi - 1]]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
+        if ends[hi - 1] > base:
+            yield slice(lo, hi), np.repeat(np.arange(hi - lo), sizes[lo:hi]), flat.slice(base, ends[hi - 1] - base)
         lo = hi
 
 
-def _pass(state: DataFrame, models: Models, key: str, first: bool) -> DataFrame:
-    """Documents with new loadings ``w`` (``kind`` 0), and each task's sums: by terms (1), by loadings (2) and of squares (3)."""
-    hh, h = (models.h @ models.h.T) * models.blocks(), np.ascontiguousarray(models.h.T)
-    k = len(models.h)
-    kind = dict(state.dtypes)[key]
-    schema = f"kind int, {key} {kind}, at array<int>, x array<double>, w array<double>"
+#: A block: its documents' keys, numbers of entries, terms, weights and loadings, as runs of numbers. A row with a ``part`` has sums instead.
+BLOCK = {"size": pa.binary(), "at": pa.binary(), "x": pa.binary(), "w": pa.binary(), "part": pa.int32(), "sums": pa.binary()}
+#: Parts of the sums: documents, weights and squared weights; loadings by loadings; from FIRST_TERMS on, loadings by terms.
+WHOLE, LOADINGS, FIRST_TERMS = 0, 1, 2
+
+
+def _block_schema(kind: str) -> str:
+    return f"keys array<{kind}>, size binary, at binary, x binary, w binary, part int, sums binary"
+
+
+def _block(keys: pa.Array, *runs: np.ndarray | bytes) -> pa.RecordBatch:
+    columns = [pa.array([r if isinstance(r, bytes) else r.tobytes()], pa.binary()) for r in runs]
+    own = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    return pa.RecordBatch.from_arrays([own, *columns, pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=["keys", *BLOCK])
+
+
+def _sums_rows(keys: pa.DataType, sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    blank = [pa.nulls(len(sums), keys)] + [pa.nulls(len(sums), pa.binary())] * 4
+    return pa.RecordBatch.from_arrays([*blank, pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float64).tobytes() for v in sums.values()], pa.binary())], names=["keys", *BLOCK])
+
+
+def blocked(entries: DataFrame, key: str, terms: int, k: int) -> DataFrame:
+    """Documents in blocks, each loaded with 1 / k of all topics, and each task's sums of the whole."""
+    number = np.uint16 if terms <= 1 << 16 else np.uint32
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wx, ww, xx = np.zeros((h.shape[0], k)), np.zeros((k, k)), 0.0
-        nothing: pa.DataType | None = None
+        whole, kind = np.zeros(3), None
         for batch in batches:
-            nothing = batch.schema.field(key).type
-            for rows, doc, at, x in _pieces(batch):
+            kind = batch.schema.field(key).type
+            for rows, doc, at in _pieces(batch, STEP, "at"):
                 n = rows.stop - rows.start
                 part = batch.slice(rows.start, n)
-                xh = np.add.reduceat(h[at] * x[:, None], np.flatnonzero(np.r_[True, np.diff(doc) > 0]))
-                w = np.full((n, k), 1.0 / k) if first else np.asarray(part["w"].flatten()).reshape(n, k)
-                w = loadings(w, xh, hh)
-                order = np.argsort(at, kind="stable")
-                heads = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                wx[at[order][heads]] += np.add.reduceat((w[doc] * x[:, None])[order], heads)
+                x = np.asarray(part["x"].flatten())
+                whole += (n, x.sum(), x @ x)
+                yield _block(part[key], np.bincount(doc, minlength=n).astype(np.int32), np.asarray(at).astype(number), x, np.full((n, k), 1.0 / k))
+        if kind is not None:
+            yield _sums_rows(pa.list_(kind), {WHOLE: whole})
+
+    return entries.mapInArrow(emit, _block_schema(dict(entries.dtypes)[key]))
+
+
+def _unpacked(row: dict, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    size = np.frombuffer(row["size"], np.int32)
+    at = np.frombuffer(row["at"], np.uint16 if terms <= 1 << 16 else np.uint32)
+    return size, at, np.frombuffer(row["x"], np.float64), np.frombuffer(row["w"], np.float64).reshape(len(size), -1)
+
+
+def documents_of(state: DataFrame, key: str, terms: int) -> DataFrame:
+    """``key``, ``at``, ``x`` and ``w``, a row a document."""
+    kind = dict(state.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                size, at, x, w = _unpacked({c: one[c][0].as_py() for c in ("size", "at", "x", "w")}, terms)
+                yield pa.RecordBatch.from_arrays([one["keys"].flatten(), _cut(at, size, pa.int32()), _cut(x, size, pa.float64()), _cut(w.ravel(), np.full(len(size), w.shape[1]), pa.float64())], names=[key, "at", "x", "w"])
+
+    return state.mapInArrow(emit, f"{key} {kind}, at array<int>, x array<double>, w array<double>")
+
+
+def by_documents(size: np.ndarray, at: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Each document's weights times its terms' rows of ``h``."""
+    out = np.zeros((len(size), h.shape[1]))
+    room = np.empty((int(size.max(initial=0)), h.shape[1]))
+    lo = 0
+    for i, n in enumerate(size.tolist()):
+        np.dot(x[lo : lo + n], np.take(h, at[lo : lo + n], axis=0, out=room[:n], mode="clip"), out=out[i])
+        lo += n
+    return out
+
+
+def add_by_terms(total: np.ndarray, size: np.ndarray, at: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+    """Add to each term's row of ``total`` the loadings of its documents times its weights there."""
+    order = np.argsort(at, kind="stable")
+    doc, x = np.repeat(np.arange(len(size)), size)[order], x[order]
+    many = np.bincount(at, minlength=len(total))
+    room = np.empty((int(many.max(initial=0)), w.shape[1]))
+    own = np.zeros_like(total)
+    lo = 0
+    for term, n in enumerate(many.tolist()):
+        if n:
+            np.dot(x[lo : lo + n], np.take(w, doc[lo : lo + n], axis=0, out=room[:n], mode="clip"), out=own[term])
+        lo += n
+    total += own
+
+
+def _pass(state: DataFrame, models: Models) -> DataFrame:
+    """Blocks with new loadings, and each task's sums of them by terms and by loadings."""
+    hh, h = (models.h @ models.h.T) * models.blocks(), np.ascontiguousarray(models.h.T)
+    terms, k = h.shape
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wx, ww = np.zeros((terms, k)), np.zeros((k, k))
+        kind: pa.DataType | None = None
+        for batch in batches:
+            kind = batch.schema.field("keys").type
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = {c: one[c][0].as_py() for c in ("size", "at", "x", "w")}
+                size, at, x, w = _unpacked(row, terms)
+                xh, w = by_documents(size, at, x, h), w.copy()
+                for lo in range(0, len(w), 500):
+                    w[lo : lo + 500] = loadings(w[lo : lo + 500], xh[lo : lo + 500], hh)
+                add_by_terms(wx, size, at, x, w)
                 ww += w.T @ w
-                xx += float(x @ x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part[key], part["at"], part["x"], _lists(list(w), pa.float64())], names=["kind", key, "at", "x", "w"])
-        if nothing is not None:
-            used = np.flatnonzero(wx.any(axis=1))
-            for number, places, sums in ((1, used, list(wx[used])), (2, np.arange(k), list(ww)), (3, np.zeros(1, int), [np.array([xx])])):
-                m = len(places)
-                blank = _lists([np.zeros(0)] * m, pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number, np.int32)), pa.nulls(m, nothing), _lists([np.array([p], np.int32) for p in places], pa.int32()), blank, _lists(sums, pa.float64())], names=["kind", key, "at", "x", "w"])
+                yield _block(one["keys"].flatten(), row["size"], row["at"], row["x"], w)
+        if kind is not None:
+            yield _sums_rows(kind, {LOADINGS: ww} | {FIRST_TERMS + i: wx[lo : lo + SUM_TERMS] for i, lo in enumerate(range(0, terms, SUM_TERMS))})
 
-    return state.mapInArrow(emit, schema)
+    return state.mapInArrow(emit, _block_schema(dict(state.dtypes)["keys"].removeprefix("array<").removesuffix(">")))
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """One row for each ``kind`` and ``place`` of a group, its vectors summed."""
-    kind, place = np.asarray(table["kind"]), np.asarray(table["place"])
-    order = np.lexsort((place, kind))
-    heads = np.flatnonzero(np.r_[True, (np.diff(kind[order]) != 0) | (np.diff(place[order]) != 0)])
-    vectors = [np.asarray(v.values) for v in table["w"]]
-    sums = [np.sum([vectors[i] for i in order[a:b]], axis=0) for a, b in zip(heads, np.r_[heads[1:], len(order)], strict=True)]
-    return pa.table({"kind": pa.array(kind[order][heads], pa.int32()), "place": pa.array(place[order][heads], pa.int32()), "w": _lists(sums, pa.float64())})
-
-
-def _sums(done: DataFrame, terms: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    parts = done.where("kind > 0").select("kind", F.col("at")[0].alias("place"), "w").withColumn("group", F.when(F.col("kind") == 1, F.col("place") % 64).otherwise(64))
-    got = parts.groupBy("group").applyInArrow(_summed, "kind int, place int, w array<double>").toArrow()  # MOST_TERMS + k + 1 rows
-    wx, ww, xx = np.zeros((k, terms)), np.zeros((k, k)), 0.0
-    for kind, place, w in zip(got["kind"].to_pylist(), got["place"].to_pylist(), got["w"], strict=True):
-        if kind == 1:
-            wx[:, place] = w.values
-        elif kind == 2:
-            ww[place] = w.values
-        else:
-            xx = w.values[0].as_py()
-    return wx, ww, xx
+    """One row a part, its vectors summed."""
+    total = np.sum([np.frombuffer(v, np.float64) for v in table["sums"].to_pylist()], axis=0)
+    return pa.table({"part": table["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _sums(done: DataFrame) -> dict[int, np.ndarray]:
+    parts = done.where("part is not null").select("part", "sums")
+    got = parts.groupBy("part").applyInArrow(_summed, "part int, sums binary").toArrow()  # sums of topics by MOST_TERMS
+    return {p: np.frombuffer(v, np.float64) for p, v in zip(got["part"].to_pylist(), got["sums"].to_pylist(), strict=True)}
 
 
 def fit(entries: DataFrame, key: str, terms: int, counts: tuple[int, ...] = TOPIC_COUNTS, seeds: tuple[int, ...] = SEEDS, tolerance: float = TOLERANCE) -> tuple[Models, DataFrame, list[np.ndarray]]:
     """The models, the documents with their loadings on all topics, and the losses after each pass."""
-    state = saved(entries, "entries")
-    n, mass = state.agg(F.count(F.lit(1)), F.sum(F.aggregate("x", F.lit(0.0), lambda a, x: a + x))).first()
-    models = starting_models(counts, seeds, terms, (mass or 0.0) / max(1, n * terms))
+    k = sum(counts) * len(seeds)
+    done = saved(blocked(entries, key, terms, k), "entries")
+    n, mass, xx = _sums(done).get(WHOLE, np.zeros(3))
+    models = starting_models(counts, seeds, terms, mass / max(1, n * terms))
     trace: list[np.ndarray] = []
     while n:
-        done = saved(_pass(state, models, key, not trace), "loadings")
-        discard(state)
-        wx, ww, xx = _sums(done, terms, len(models.h))
-        ww = ww * models.blocks()
+        before, done = done, saved(_pass(_blocks(done), models), "loadings")
+        discard(before)
+        sums = _sums(done)
+        wx = np.concatenate([sums[p] for p in sorted(sums) if p >= FIRST_TERMS]).reshape(terms, k).T
+        ww = sums[LOADINGS].reshape(k, k) * models.blocks()
         trace.append(losses(models, wx, ww, xx))
-        state = done.where("kind = 0").select(key, "at", "x", "w")
         if len(trace) > 1 and (trace[-2] - trace[-1] < tolerance * trace[0]).all():
             break
         models = Models(models.grid, models.slices, next_topics(models.h, wx, ww))
-    return models, state, trace
+    return models, documents_of(_blocks(done), key, terms), trace
+
+
+def _blocks(done: DataFrame) -> DataFrame:
+    return done.where("part is null").select("keys", "size", "at", "x", "w")
 
 
 def top_terms(models: Models, names: list[str], many: int = TOP_TERMS) -> list[list[list[int]]]:
@@ -216,16 +412,22 @@ def top_terms(models: Models, names: list[str], many: int = TOP_TERMS) -> list[l
 def coherence(state: DataFrame, tops: list[list[list[int]]], many: int = COHERENCE_TERMS) -> list[float]:
     """Mean over a model's topics and pairs of their heaviest terms of ln((documents with both + 1) / documents with the second)."""
     flat = [topic[:many] for model in tops for topic in model]
+    chosen = np.array(sorted({term for topic in flat for term in topic}), dtype=np.int64)
+    own = [np.searchsorted(chosen, topic) for topic in flat]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(flat), many, many), dtype=np.int64)
+        both = np.zeros((len(chosen), len(chosen)))
         for batch in batches:
-            for rows, doc, at, _ in _pieces(batch):
-                for t, topic in enumerate(flat):
-                    seen = np.zeros((rows.stop - rows.start, many), dtype=np.int64)
-                    for j, term in enumerate(topic):
-                        seen[doc[at == term], j] = 1
-                    total[t] += seen.T @ seen
+            for rows, doc, at in _pieces(batch, STEP, "at"):
+                at = np.asarray(at)
+                place = np.searchsorted(chosen, at)
+                hit = np.flatnonzero(chosen[np.minimum(place, len(chosen) - 1)] == at) if len(chosen) else np.zeros(0, np.int64)
+                seen = np.zeros((rows.stop - rows.start, len(chosen)), dtype=np.float32)  # sums of ones are exact up to 2 ** 24 documents
+                seen[doc[hit], place[hit]] = 1
+                both += seen.T @ seen
+        total = np.zeros((len(flat), many, many), dtype=np.int64)
+        for t, places in enumerate(own):
+            total[t, : len(places), : len(places)] = both[np.ix_(places, places)]
         t, i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (t, i, j)] + [pa.array(total[t, i, j])], names=["t", "i", "j", "n"])
 
@@ -312,10 +514,15 @@ MODEL_COLUMNS = "topic_count int, seed int, error double, coherence double, dive
 
 
 def topic_models(docs: DataFrame, key: str, text: str, **grid) -> tuple[DataFrame, Chosen, Models]:
-    """Documents with their loadings, the chosen model and all models' topics."""
-    terms = vocabulary(docs, text)
+    """Documents with their loadings, the chosen model and all models' topics.
+
+    Texts are first dealt over tasks, since a file may be a single row group, and made plain once.
+    """
+    docs = saved(docs.select(key, text).repartition(_tasks(docs)).select(key, plain(F.col(text)).alias(text)), "texts")
+    terms = vocabulary(docs, text, made=True)
     names = [r["term"] for r in terms.orderBy("at").collect()]  # MOST_TERMS rows
-    models, state, trace = fit(weighted_terms(docs, key, text, terms), key, len(names), **grid)
+    models, state, trace = fit(weighted_terms(docs, key, text, terms, made=True), key, len(names), **grid)
+    discard(docs)
     if not trace:
         return state, Chosen([], 0, []), models
     return state, select_model(state, key, models, trace, names), models
