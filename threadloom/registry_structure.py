@@ -69,10 +69,10 @@ def topic_shares(spark, d):
     state, chosen, models = topics.topic_models(docs, "doc_id", "text")
     terms = spark.createDataFrame([(i, ", ".join(x)) for i, x in enumerate(chosen.terms)], "topic int, terms string")
     own = topics.assigned(state, "doc_id", models).where(F.col("model") == chosen.model).join(docs.select("doc_id", "lang"), "doc_id")
-    counted = own.groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("documents"))
-    grid = own.select("lang").distinct().crossJoin(F.broadcast(terms))  # a row a language and topic
+    counted = topics.saved(own.groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("documents")), "counts")
+    grid = counted.select("lang").distinct().crossJoin(F.broadcast(terms))  # a row a language and topic
     whole = grid.join(counted, ["lang", "topic"], "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    whole = whole.join(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang")
+    whole = whole.join(counted.groupBy("lang").agg(F.sum("documents").alias("n")), "lang")
     low, high = stats.wilson(F.col("documents"), F.col("n"), 1.96)
     return whole.select("lang", "topic", "documents", r9(F.col("documents") / F.col("n")).alias("share"), r9(F.greatest(low, F.lit(0.0))).alias("low"), r9(F.least(high, F.lit(1.0))).alias("high"), "terms")
 
