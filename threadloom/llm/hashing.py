@@ -13,13 +13,20 @@ _powers: dict[int, np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 _VALUE[[9, 10, 11, 12, 13, 32]] = 0
+#: Values of two bytes at once. Blanks count nothing and one lies between any two words, so no two bytes taken together are of two words.
+_PAIR = (_VALUE[None, :] + _VALUE[:, None] * np.uint64(BASE)).ravel()
+#: Pairs of bytes that are valued at a time, few enough to stay in a core's cache.
+_PAIRS = 1 << 14
 
 
 def power(base: int, n: int) -> np.ndarray:
@@ -50,10 +57,22 @@ def _word_starts(texts: list[bytes], joint: bytes) -> tuple[np.ndarray, np.ndarr
 def _keys(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    terms = _VALUE[flat]
-    terms *= power(BASE, len(flat))
-    sums = np.add.reduceat(terms, starts) * power(INVERSE, len(flat))[starts]
-    return mix(sums + (stops - starts).astype(np.uint64))
+    pairs = flat[: len(flat) & ~1].view("<u2")  # a last odd byte is a blank
+    steps = power(BASE * BASE & (1 << 64) - 1, len(pairs))
+    before = np.zeros(len(pairs) + 1, dtype=np.uint64)  # running sums, modulo 2**64
+    terms = before[1:]
+    for lo in range(0, len(pairs), _PAIRS):
+        own = terms[lo : lo + _PAIRS]
+        np.take(_PAIR, pairs[lo : lo + _PAIRS], out=own, mode="clip")
+        own *= steps[lo : lo + _PAIRS]
+    np.cumsum(terms, out=terms)
+    sums = np.empty(len(starts), dtype=np.uint64)
+    first = before[starts >> 1]
+    np.subtract(first[1:], first[:-1], out=sums[:-1])
+    sums[-1:] = before[-1:] - first[-1:]
+    sums *= power(INVERSE, len(flat))[starts]
+    sums += (stops - starts).astype(np.uint64)
+    return mix(sums)
 
 
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +87,7 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys of all words, and the line each lies in, counted on through the texts."""
     flat, starts, stops = _word_starts(texts, b"\n")
     breaks = np.flatnonzero(flat == 10)
-    return _keys(flat, starts, stops), np.searchsorted(breaks, starts) - 1
+    return _keys(flat, starts, stops), np.repeat(np.arange(len(breaks)), np.diff(np.r_[np.searchsorted(starts, breaks), len(starts)]))
 
 
 def sequence_keys(words: np.ndarray, width: int) -> np.ndarray:

@@ -62,14 +62,18 @@ _TOKEN_MASK = np.uint64((1 << _TOKEN_BITS) - 1)
 class Lines:
     """The non-blank lines of some texts as sorted sets: word keys of a line lie together, ordered from rare to common if ``rarity`` is given."""
 
-    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
-        count = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None, count: np.ndarray | None = None):
+        if count is None:
+            count = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
         keys, line = line_words(texts)
         first = np.cumsum(count) - count
         if count.sum() >= 1 << 16:
             raise ValueError("too many lines at once")
-        rank = np.uint64(0) if rarity is None else rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
-        packed = distinct((line.astype(np.uint64) << np.uint64(48)) | rank | (keys >> np.uint64(64 - _TOKEN_BITS)))
+        packed = line.view(np.uint64) << np.uint64(48)
+        packed |= keys >> np.uint64(64 - _TOKEN_BITS)
+        if rarity is not None:
+            packed |= rarity[keys >> np.uint64(64 - RARITY_BITS)].astype(np.uint64) << np.uint64(_TOKEN_BITS)
+        packed = distinct(packed)
         line = (packed >> np.uint64(48)).astype(np.int64)
         self.token = packed & _TOKEN_MASK
         self.rank = (packed >> np.uint64(_TOKEN_BITS)).astype(np.uint8) & np.uint8(63)
@@ -112,8 +116,9 @@ def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Ite
     lo = 0
     while lo < batch.num_rows:
         part = batch.slice(lo, STEP)
-        texts = [t.encode() for t in part["text"].to_pylist()]
-        total = np.cumsum([t.count(b"\n") + 1 for t in texts])
+        texts = part["text"].cast(pa.binary()).to_pylist()
+        count = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+        total = np.cumsum(count)
         take = max(1, min(int(np.searchsorted(total, 60_000, side="right")), int(np.searchsorted(np.cumsum([len(t) for t in texts]), STEP_BYTES, side="right"))))
         if take == 1 and total[0] > 60_000:
             pieces = texts[0].split(b"\n")
@@ -122,7 +127,7 @@ def line_batches(batch: pa.RecordBatch, rarity: np.ndarray | None = None) -> Ite
                 lines.number = lines.number + at
                 yield part.slice(0, 1), lines
         else:
-            yield part.slice(0, take), Lines(texts[:take], rarity)
+            yield part.slice(0, take), Lines(texts[:take], rarity, count[:take])
         lo += take
 
 
@@ -243,12 +248,16 @@ def _dealt(rows: np.ndarray, common: np.ndarray, buckets: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), runs], names=["bucket", "rows"])
 
 
-def _records(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """Columns of MEETING from runs; words are hashed to 32 bits in their bucket, and a chance meeting only costs a comparison."""
+def _records(batch: pa.RecordBatch, keep: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Columns of MEETING from runs, for the meetings of the bitmap ``keep`` alone if there is one; words are hashed to 32 bits in their
+    bucket, and a chance meeting only costs a comparison."""
     runs = batch["rows"].to_pylist()
     rows = np.frombuffer(b"".join(runs), dtype=RECORD)
     bucket = np.repeat(np.asarray(batch["bucket"]).astype(np.int64), [len(r) // RECORD.itemsize for r in runs])
     meet = mix((bucket.view(np.uint64) << np.uint64(32)) | rows["meet"]).view(np.int64)
+    if keep is not None:
+        ok = np.flatnonzero(_in_bitmap(meet, keep))
+        rows, meet = rows[ok], meet[ok]
     wide = {c: np.ascontiguousarray(rows[c]) for c in ("node", "doc", "line", "size")}
     return {"meet": meet, "node": wide["node"], "bits": np.ascontiguousarray(rows["bits"]).view(np.int64), "doc": wide["doc"], "line": wide["line"], "size": wide["size"], "place": rows["place"].astype(np.int32), "own": np.ones(len(rows), np.int32)}
 
@@ -290,10 +299,9 @@ def unpacked(runs: DataFrame, keep=None) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _records(batch)
-            ok = np.arange(len(rows["meet"])) if keep is None else np.flatnonzero(_in_bitmap(rows["meet"], keep.value))
-            for lo in range(0, len(ok), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[ok[lo : lo + 50_000]]) for c in rows.values()], names=list(rows))
+            rows = _records(batch, None if keep is None else keep.value)
+            for lo in range(0, len(rows["meet"]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in rows.values()], names=list(rows))
 
     return runs.mapInArrow(emit, MEETING)
 
@@ -428,7 +436,7 @@ def wanted_lines(texts: DataFrame, bitmap) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, STEP):
                 part = batch.slice(lo, STEP)
-                pieces = [t.encode().split(b"\n") for t in part["text"].to_pylist()]
+                pieces = [t.split(b"\n") for t in part["text"].cast(pa.binary()).to_pylist()]
                 many = np.array([len(x) for x in pieces], dtype=np.int64)
                 text = np.repeat(np.arange(len(pieces)), many)
                 line = np.arange(len(text)) - (np.cumsum(many) - many)[text]
