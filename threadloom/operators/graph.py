@@ -84,7 +84,7 @@ def link_grid(edges: DataFrame, a: str, b: str) -> tuple[blocks.Grid, DataFrame,
     pairs = saved(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")), "pairs")
     once = spread(pairs, parts_of(pairs), "u", "v").distinct()
     links = saved(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    return blocks.grid(links.withColumn("w", F.lit(1.0)), "u", "v", "w", shared=True), links, links.count()
+    return blocks.grid(links, "u", "v", None, shared=True, each=blocks.EDGES_A_CELL // 2), links, links.count()
 
 
 def core_numbers(edges: DataFrame, a: str, b: str, rounds: int = 10_000) -> DataFrame:
